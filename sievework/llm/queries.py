@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_warc": warc.op2_warc,
 }
 
-SQL = sharding.SQL
+SQL = sharding.SQL | warc.SQL
