@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, warc
+from . import mixing, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
+    "op4_mixing": mixing.op4_mixing,
 }
 
 SQL = sharding.SQL | warc.SQL
