@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, warc
+from . import licenses, mixing, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
     "op4_mixing": mixing.op4_mixing,
+    "op5_licenses": licenses.op5_licenses,
 }
 
 SQL = sharding.SQL | warc.SQL
