@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, sharding, warc
+from . import licenses, media, mixing, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
+    "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_licenses": licenses.op5_licenses,
 }
