@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, media, mixing, sharding, warc
+from . import language, licenses, media, mixing, sharding, warc, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_licenses": licenses.op5_licenses,
+    "op8_winnowing": winnowing.op8_winnowing,
     "op10_language": language.op10_language,
 }
 
