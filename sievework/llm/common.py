@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = "[^\\x20\\x09-\\x0D]+"
-"""A word of the contracts on sizes and shingles."""
-
+from sievework.functions.durable import checkpoint_dir, cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the folder that the driver and all executors share.
+__all__ = ["cut", "lookup", "lower_ascii", "salted", "scratch", "table", "tasks", "utf8"]
 
-    The cluster names it in spark.checkpoint.dir. Where that is unset, as in tests on one machine, a temporary folder is set."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="sievework-"))
-    return (base or sc.getCheckpointDir()).rstrip("/")
+WHITE = "[^\\x20\\x09-\\x0D]+"
+"""A word of the contracts on sizes and shingles."""
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; the caller's session owns what is written there."""
-    return f"{shared_dir(spark)}/sievework/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the shared folder and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return f"{checkpoint_dir(spark)}/sievework/{what}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +52,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "i
     few = left.join(hot, key, "inner")
     rest = left.join(mark, F.col(key) == F.col("_hot"), "left_anti").join(right.filter(F.col("n") <= line).hint("shuffle_merge"), key, how)
     return few.unionByName(rest)
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, rows: int, spread: str) -> DataFrame:
+    """left inner join right on key, for right rows too large to broadcast: a hot key's right row is copied once for each `rows / HOT_SHARE` left rows that hold it, and its left rows are dealt over the copies by the column spread.
+
+    counts: (key, n), the left rows of each key. Only the hot keys with their numbers of copies, under HOT_SHARE rows, are broadcast; the copies come to HOT_SHARE more right rows at most."""
+    line = max(rows // HOT_SHARE, 64)
+    hot = F.broadcast(counts.filter(F.col("n") > line).select(key, F.ceil(F.col("n") / line).cast("int").alias("_copies")))
+    one = F.coalesce("_copies", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_copies")
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_copies")
+    return dealt.join(copied.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, media, mixing, sharding, warc, winnowing
+from . import language, licenses, media, minhash, mixing, sharding, warc, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_licenses": licenses.op5_licenses,
+    "op7_minhash": minhash.op7_minhash,
     "op8_winnowing": winnowing.op8_winnowing,
     "op10_language": language.op10_language,
 }
 
-SQL = sharding.SQL | warc.SQL
+SQL = sharding.SQL | warc.SQL | minhash.SQL
