@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.durable import checkpoint_dir, cut
 
-__all__ = ["cut", "lookup", "lower_ascii", "salted", "scratch", "table", "tasks", "utf8"]
+__all__ = ["cut", "keep", "lookup", "lower_ascii", "salted", "scratch", "table", "tasks", "utf8"]
 
 WHITE = "[^\\x20\\x09-\\x0D]+"
 """A word of the contracts on sizes and shingles."""
@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/sievework/{what}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame, what: str) -> DataFrame:
+    """df as a compressed table in the shared folder: a cut for what would be large as a checkpoint."""
+    to = scratch(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,3 +71,27 @@ def salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, rows:
     dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_copies")
     copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_copies")
     return dealt.join(copied.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
+
+
+BLOOM = 256
+"""Buckets of 32,768 bits each in the filter of wanted(): 1 MB at any size."""
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("bloom"), key), F.lit(BLOOM * 32_768))
+
+
+def wanted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is among ids, and by chance some others: those whose bit is set in a bitmap of fixed size, which is all that is broadcast. What follows joins exactly; this spares it the rows it would drop."""
+    at = _bit(F.col(key))
+    maps = ids.select(at.alias("_at")).groupBy((F.col("_at") / 32_768).cast("int").alias("_b")).agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_map"))
+    one = df.withColumn("_at", at).withColumn("_b", (F.col("_at") / 32_768).cast("int")).join(F.broadcast(maps), "_b")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast((_at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return one.filter(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).drop("_at", "_b", "_map")
+
+
+def slices(batch, size: int = 4 << 20):
+    """An Arrow batch in parts of about `size` bytes."""
+    step = max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
 
-from .common import cut, lookup, salted, table
+from .common import cut, lookup, salted, slices, table, wanted
 from .shingling import shingles
 
 ROWS, BANDS = 6, 48
@@ -32,9 +32,6 @@ HUB_ROUNDS = 6
 SMALL = 32
 """Larger buckets with several components get further rounds before the last comparison."""
 WORK = 1 << 15
-BLOOM = 256
-"""Buckets of 32,768 bits each in the filter that spares documents which no pair needs from being read into sets: 1 MB at any size."""
-
 _A, _B = (x.astype(np.uint32) | np.uint32(1) for x in np.random.default_rng(77).integers(0, 1 << 32, (2, M), dtype=np.uint64))
 
 
@@ -105,7 +102,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets = shingles([(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")], k)
                 regs = registers(sets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
@@ -113,12 +110,6 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    step = max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 def band_keys(nodes: DataFrame) -> DataFrame:
     """nodes (node, regs) -> a row (key, node) for each band."""
 
@@ -139,25 +130,12 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "key long, node long")
 
 
-def _bit(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("bloom"), doc_id), F.lit(BLOOM * 32_768))
-
-
-def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, and some others: those whose bit is set in a bitmap of fixed size, which is all that is broadcast."""
-    at = _bit(F.col("doc_id"))
-    maps = ids.select(at.alias("at")).groupBy((F.col("at") / 32_768).cast("int").alias("_b")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("_map"))
-    one = docs.withColumns({"_at": at}).withColumn("_b", (F.col("_at") / 32_768).cast("int")).join(F.broadcast(maps), "_b")
-    byte = F.conv(F.hex(F.expr("substring(_map, cast((_at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return one.filter(F.shiftright(byte, 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).drop("_at", "_b", "_map")
-
-
 def full_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """need (node, digest, doc_id) -> node, items: the node's whole set, from its document's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets = shingles([(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")], k)
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, media, minhash, mixing, sharding, warc, winnowing
+from . import language, licenses, media, minhash, mixing, sharding, suffixes, warc, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_licenses": licenses.op5_licenses,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op7_minhash": minhash.op7_minhash,
     "op8_winnowing": winnowing.op8_winnowing,
     "op10_language": language.op10_language,
