@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, media, minhash, mixing, sharding, suffixes, warc, winnowing
+from . import language, licenses, media, minhash, mixing, sentencepiece_scan, sharding, suffixes, warc, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffixes": suffixes.op6_suffixes,
     "op7_minhash": minhash.op7_minhash,
     "op8_winnowing": winnowing.op8_winnowing,
+    "op9_sentencepiece": sentencepiece_scan.op9_sentencepiece,
     "op10_language": language.op10_language,
 }
 
