@@ -53,19 +53,24 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda both: F.when(F.size(s["a"]) + F.size(s["b"]) == 0, 1.0).otherwise(both / (F.size(s["a"]) + F.size(s["b"]) - both))))
 
 
+def key() -> tuple[Column, Column]:
+    """A row's key without nulls, so that joins and windows on it share one shuffle."""
+    return F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("d")
+
+
 def chain(docs: DataFrame) -> DataFrame:
-    """The distinct (doc_id, d, n) in descending doc_id (null last), then d, each with nxt and prev, structs of its neighbours; the last is followed by the first. Ranges of the order are handled each by itself; their ends, one row for each range, are joined up."""
+    """The distinct (id, d, n) in descending doc_id (null last), then d, each with nxt and prev, structs of its neighbours; the last is followed by the first. Ranges of the order are handled each by itself; their ends, one row for each range, are joined up."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("d")]
-    light = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("d"), F.length(F.coalesce("text", F.lit(""))).alias("n")).distinct()
+    light = docs.select("doc_id", *key(), F.length(F.coalesce("text", F.lit(""))).alias("n")).distinct()
     dealt = cut(light.repartitionByRange(tasks(docs.sparkSession), *order).withColumn("rng", F.spark_partition_id()))
     w = Window.partitionBy("rng").orderBy(*order)
-    me = F.struct("doc_id", "d", "n")
+    me = F.struct("id", "d", "n")
     inner = cut(dealt.withColumns({"nxt": F.lead(me).over(w), "prev": F.lag(me).over(w)}))
     ends = inner.filter("nxt IS NULL").select("rng", me.alias("last")).join(inner.filter("prev IS NULL").select("rng", me.alias("first")), "rng")
     by = Window.orderBy("rng")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("rng", F.coalesce(F.lead("first").over(by), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(by), F.last("last").over(whole)).alias("before"))
-    return inner.join(F.broadcast(ends), "rng").select("doc_id", "d", "n", F.coalesce("nxt", "after").alias("nxt"), F.coalesce("prev", "before").alias("prev"))
+    return inner.join(F.broadcast(ends), "rng").select("id", "d", "n", F.coalesce("nxt", "after").alias("nxt"), F.coalesce("prev", "before").alias("prev"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -77,15 +82,14 @@ def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each document's fingerprint, that of its text with the last third replaced from the next document, and how alike they are.
 
     Null text counts as empty. Rows equal in doc_id and text are judged as one and returned as often as they come; the next document is the next row that differs. Null doc_id: after all others. A table of one document: it is its own next. Empty table: empty result. Other columns are ignored. A text is shuffled once with its id; what the document before it needs of it, a prefix and the fingerprint, once more."""
-    own = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("d"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
-    links = cut(chain(docs)).alias("c")
-    linked = own.join(links.hint("shuffle_merge"), F.expr("t.doc_id <=> c.doc_id AND t.d = c.d")).select("t.doc_id", "t.d", "text", "n", "nxt", "prev")
-    one = Window.partitionBy("doc_id", "d").orderBy("d")
+    own = docs.select("doc_id", *key(), F.coalesce("text", F.lit("")).alias("text"))
+    linked = own.join(cut(chain(docs)).hint("shuffle_merge"), ["id", "d"]).select("doc_id", "id", "d", "text", "n", "prev")
+    one = Window.partitionBy("id", "d").orderBy("d")
     sent = (
         linked.withColumn("i", F.row_number().over(one)).filter("i = 1")
-        .select(F.col("prev.doc_id").alias("to_id"), F.col("prev.d").alias("to_d"), F.expr("substring(text, 1, prev.n div 3)").alias("prefix"), selections(F.col("text"), k, window).alias("next_selected"))
+        .select(F.col("prev.id").alias("id"), F.col("prev.d").alias("d"), F.expr("substring(text, 1, prev.n div 3)").alias("prefix"), selections(F.col("text"), k, window).alias("next_selected"))
     )
-    both = linked.alias("a").join(sent.alias("b").hint("shuffle_merge"), F.expr("a.doc_id <=> b.to_id AND a.d = b.to_d"))
+    both = linked.drop("prev").join(sent.hint("shuffle_merge"), ["id", "d"])
     third = F.expr("n div 3").cast("int")
     result = let(
         F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring("prefix", F.lit(1), third)),
