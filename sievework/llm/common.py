@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.durable import checkpoint_dir, cut
 
-__all__ = ["cut", "keep", "lookup", "lower_ascii", "salted", "scratch", "table", "tasks", "utf8"]
+__all__ = ["cut", "keep", "known", "lookup", "lower_ascii", "salted", "scratch", "table", "tasks", "utf8"]
 
 WHITE = "[^\\x20\\x09-\\x0D]+"
 """A word of the contracts on sizes and shingles."""
@@ -61,6 +61,17 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "i
     return few.unionByName(rest)
 
 
+def known(left: DataFrame, counts: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """lookup() where only the count is wanted: left with `n`, 2 or more where counts (key, n > 1) has the key. The hot keys, fewer than HOT_SHARE by counting, are tested by value where the rows are."""
+    line = max(rows // HOT_SHARE, 64)
+    hot = [F.lit(r[0]) for r in counts.filter(F.col("n") > line).select(key).collect()]
+    if not hot:
+        return left.join(counts.hint("shuffle_merge"), key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = left.filter(is_hot).withColumn("n", F.lit(line + 1).cast("long"))
+    return few.unionByName(left.filter(~is_hot).join(counts.filter(F.col("n") <= line).hint("shuffle_merge"), key, how))
+
+
 def salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, rows: int, spread: str) -> DataFrame:
     """left inner join right on key, for right rows too large to broadcast: a hot key's right row is copied once for each `rows / HOT_SHARE` left rows that hold it, and its left rows are dealt over the copies by the column spread.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep, lookup, slices, table, utf8, wanted
+from .common import cut, keep, known, slices, table, utf8, wanted
 
 MIN = 400
 Q = 32
@@ -138,9 +138,9 @@ def settle(records: DataFrame) -> DataFrame:
     """Those records whose core something else has too, with `n`: null unless something else has their outer string. Keys are counted with partial sums, and hot ones are looked up without a shuffle."""
     total = records.count()
     cores = records.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1")
-    alive = keep(lookup(records, cores, "core", total).drop("n"), "alive")
+    alive = keep(known(records, cores, "core", total).drop("n"), "alive")
     outers = alive.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(lookup(alive, outers, "outer", total, "left"))
+    return cut(known(alive, outers, "outer", total, "left"))
 
 
 def unsettled(found: DataFrame) -> DataFrame:
