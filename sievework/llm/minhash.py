@@ -29,8 +29,8 @@ TOP = 65_535
 SIGMAS = 5.0
 """A pair is verified unless its estimate is this many standard deviations below the threshold."""
 HUB_ROUNDS = 6
-SMALL = 32
-"""Larger buckets with several components get further rounds before the last comparison."""
+ENOUGH = 4
+"""Rounds with further hubs go on until the comparisons that are left are so many for each row of the buckets, or HUB_ROUNDS are over; then all of them are made."""
 WORK = 1 << 15
 _A, _B = (x.astype(np.uint32) | np.uint32(1) for x in np.random.default_rng(77).integers(0, 1 << 32, (2, M), dtype=np.uint64))
 
@@ -203,31 +203,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     asked, links = pairs, linked(pairs, nodes, sets, percent)
     for turn in range(HUB_ROUNDS + 1):
         comp = connected_components(links)
-        placed = cells.drop("hub").join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-        per = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("node").alias("least"))
-        best = per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("n")).filter("parts > 1 AND n > 2")
-        open_ = cut(best.select("key", F.col("m.component").alias("main"), "parts", "n"))
-        large = open_.filter((F.col("n") > SMALL))
-        if turn < HUB_ROUNDS and not large.isEmpty():
-            # another node of the largest component takes the hub's part, and every node outside that component is compared with it
-            pick = per.join(large, "key").filter("component = main").select("key", "main", "n").join(placed.select("key", "node", "component").filter(F.col("component").isNotNull()), "key").filter("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("p"), F.first("main").alias("main"), F.first("n").alias("n")).select("key", "main", "n", F.col("p.node").alias("hub"))
-            new = lookup(placed.drop("n"), pick, "key", total).filter("component <> main").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        else:
+        placed = cut(cells.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))))
+        per = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+        open_ = cut(per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("n")).filter("parts > 1 AND n > 2").select("key", F.col("m.component").alias("main"), F.col("m.c").alias("c"), "n"))
+        left = open_.agg(F.sum((F.col("n") - F.col("c")) * F.col("n"))).first()[0] or 0
+        if not left:
+            break
+        last = turn == HUB_ROUNDS or left <= ENOUGH * max(total, 1000)
+        out = lookup(placed, open_, "key", total).filter("component <> main")
+        if last:
             # what isn't in a bucket's largest component meets all of the bucket that it isn't joined to
-            out = lookup(placed.drop("n"), open_, "key", total).filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            new = out.join(placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb")).join(open_.select("key"), "key", "left_semi"), "key").filter("ca <> cb").select("a", "b")
-        new = new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        new = cut(new)
+            new = out.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb")), "key").filter("ca <> cb").select("a", "b")
+        else:
+            # another node of the largest component takes the hub's part, and every node outside that component is compared with it
+            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+            pick = placed.join(open_.select("key", F.col("main").alias("component"), "n"), ["key", "component"]).groupBy("key").agg(F.min(order).alias("p"), F.first("n").alias("n")).select("key", F.col("p.node").alias("hub"), "n")
+            new = lookup(out.select("key", "node"), pick, "key", total).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        new = cut(new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
         if not new.isEmpty():
             asked = cut(asked.unionByName(new))
-            more = linked(new, nodes, sets, percent)
-            grown = not more.isEmpty()
-            links = cut(links.unionByName(more))
-        else:
-            grown = False
-        if turn == HUB_ROUNDS or large.isEmpty():
-            if grown:
-                comp = connected_components(links)
+            links = cut(links.unionByName(linked(new, nodes, sets, percent)))
+        if last:
+            comp = connected_components(links)
             break
     node_of = nodes.select("node", "digest", "doc_id", F.col("copies").alias("n")).join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     least = node_of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
