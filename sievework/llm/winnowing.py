@@ -14,6 +14,8 @@ from .common import cut, lower_ascii, table, tasks
 K = 5
 WINDOW = 12
 PLACES = (1 << 24) - 1
+NO_ID = -(2**63) + 1
+"""Stands for a null doc_id in keys."""
 
 
 def let(value: Column, use) -> Column:
@@ -55,7 +57,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def key() -> tuple[Column, Column]:
     """A row's key without nulls, so that joins and windows on it share one shuffle."""
-    return F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("d")
+    return F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("d")
 
 
 def chain(docs: DataFrame) -> DataFrame:
@@ -82,8 +84,9 @@ def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each document's fingerprint, that of its text with the last third replaced from the next document, and how alike they are.
 
     Null text counts as empty. Rows equal in doc_id and text are judged as one and returned as often as they come; the next document is the next row that differs. Null doc_id: after all others. A table of one document: it is its own next. Empty table: empty result. Other columns are ignored. A text is shuffled once with its id; what the document before it needs of it, a prefix and the fingerprint, once more."""
-    own = docs.select("doc_id", *key(), F.coalesce("text", F.lit("")).alias("text"))
-    linked = own.join(cut(chain(docs)).hint("shuffle_merge"), ["id", "d"]).select("doc_id", "id", "d", "text", "n", "prev")
+    # both sides take the same columns of the one shuffle of the texts; doc_id follows from id
+    own = docs.select(*key(), F.coalesce("text", F.lit("")).alias("text"))
+    linked = own.join(cut(chain(docs)).hint("shuffle_merge"), ["id", "d"]).select("id", "d", "text", "n", "prev")
     one = Window.partitionBy("id", "d").orderBy("d")
     sent = (
         linked.withColumn("i", F.row_number().over(one)).filter("i = 1")
@@ -101,7 +104,7 @@ def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
             ),
         ),
     )
-    return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), result.alias("r")).select("doc_id", "n_chars", "r.*")
+    return both.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), result.alias("r")).select("doc_id", "n_chars", "r.*")
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
