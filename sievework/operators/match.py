@@ -33,7 +33,7 @@ def same_time(a: Column, b: Column) -> Column:
 
 def _block(h: Column, i: int, n: int) -> Column:
     lo, hi = 64 * i // n, 64 * (i + 1) // n
-    return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+    return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << min(hi - lo, 63)) - 1 if hi - lo < 64 else -1).cast("long"))
 
 
 def similar_pairs(rows: DataFrame, key: str, limits: Limits, cols: tuple[str, str, str] = ("look_p", "look_d", "date_taken"), nested: int | None = None, within: str | None = None) -> DataFrame:
