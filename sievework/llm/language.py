@@ -21,9 +21,9 @@ from .common import table
 
 WORD = re.compile(r"[^\W\d_]+")
 N = 5
-PER_LANGUAGE = 400
+PER_LANGUAGE = 300
 """Labelled documents that a language's model is fitted on, at most."""
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 6_000
 """Characters that a document gives to that fit, at most. A bound on the fit alone: no prediction is cut."""
 LANGUAGES = 200
 WORDS = 20_000
