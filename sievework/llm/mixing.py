@@ -28,6 +28,11 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1).cast("long")
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum in decimals, which is the same in whatever order rows come: reruns agree to the last bit."""
+    return F.sum(x.cast("decimal(38,10)")).cast("double")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, n) -> source, source_size, target: shares of all words by weight, none above cap times its source.
 
@@ -66,7 +71,7 @@ def rates(counts: DataFrame, goal: DataFrame, cap: int = CAP, tilt: float = TILT
         sums = (
             k.join(s, F.expr("k.source <=> s.source"))
             .groupBy("s.source", "target", "mean", "lam", "lo", "hi")
-            .agg(F.sum(words * w).alias("f"), F.sum(F.when(u < F.log(F.lit(float(cap))), words * w * x).otherwise(0.0)).alias("slope"))
+            .agg(exact_sum(words * w).alias("f"), exact_sum(F.when(u < F.log(F.lit(float(cap))), words * w * x).otherwise(0.0)).alias("slope"))
         )
         off = F.col("f") - F.col("target")
         lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
