@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.durable import cut
+from sievework.functions.durable import cut, release
+
+
+SMALL = 100_000
+"""Edges up to which a round's joins are broadcast: two longs or paths a row."""
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -17,14 +21,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     now = cut(ends.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
+        # tables of up to SMALL rows, by the count of the round before, are sent to the edges; larger ones are joined by a shuffle
+        sent = F.broadcast if mark is not None and mark[0] <= SMALL else lambda df: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # each edge (u > v): its greater end goes to the least neighbour of the lesser one
-        large = now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).filter("u <> v")
-        kept = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = now.join(sent(least.withColumnRenamed("u", "v")), "v").select("u", F.col("m").alias("v")).filter("u <> v")
+        kept = cut(large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))))
         low = kept.groupBy("u").agg(F.min("v").alias("m"))
-        small = kept.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = kept.join(sent(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         now = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        release(edges.sparkSession)
         # the same edges as before give the same count and sums of digests
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))).first()
         if seen == mark:
