@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.durable import checkpoint_dir, cut
+from sievework.functions.durable import checkpoint_dir, cut, release
 
-__all__ = ["cut", "keep", "known", "lookup", "lower_ascii", "salted", "scratch", "table", "tasks", "utf8"]
+__all__ = ["cut", "keep", "known", "lookup", "lower_ascii", "release", "salted", "scratch", "table", "tasks", "utf8"]
 
 WHITE = "[^\\x20\\x09-\\x0D]+"
 """A word of the contracts on sizes and shingles."""

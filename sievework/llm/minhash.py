@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
 
-from .common import cut, lookup, salted, slices, table, wanted
+from .common import cut, lookup, release, salted, slices, table, wanted
 from .shingling import shingles
 
 ROWS, BANDS = 6, 48
@@ -213,7 +213,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         out = lookup(placed, open_, "key", total).filter("component <> main")
         if last:
             # what isn't in a bucket's largest component meets all of the bucket that it isn't joined to
-            new = out.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb")), "key").filter("ca <> cb").select("a", "b")
+            # a pair that shares several buckets is told in the one of the least key only
+            rings = cut(placed.join(open_.select("key"), "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("ring")))
+            side = lambda df, s: df.select("key", "node", "component").join(rings, "node").select("key", F.col("node").alias(s), F.col("component").alias(f"c{s}"), F.col("ring").alias(f"r{s}"))
+            here = placed.join(open_.select("key"), "key", "left_semi")
+            new = side(out, "a").join(side(here, "b"), "key").filter("ca <> cb AND array_min(array_intersect(ra, rb)) = key").select("a", "b")
         else:
             # another node of the largest component takes the hub's part, and every node outside that component is compared with it
             order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
@@ -223,6 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not new.isEmpty():
             asked = cut(asked.unionByName(new))
             links = cut(links.unionByName(linked(new, nodes, sets, percent)))
+        release(docs.sparkSession)
         if last:
             comp = connected_components(links)
             break
