@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep, known, slices, table, utf8, wanted
+from .common import cut, keep, known, release, slices, table, utf8, wanted
 
 MIN = 400
 Q = 32
@@ -218,6 +218,7 @@ def repeated(docs: DataFrame, least: int = MIN) -> DataFrame:
         found = settle(keep(refine(ctx, open_, size, least), "pieces"))
         spans = spans.unionByName(stretch(found))
         open_ = unsettled(found)
+        release(docs.sparkSession)
     return cut(merged(spans))
 
 
