@@ -246,7 +246,7 @@ def online_only(spark, d):
 # --- folders, cache, clean-up -------------------------------------------------------------------
 
 def _roots(spark, d) -> DataFrame:
-    return V.url_paths(spark, d).select(F.explode(F.array(text.folder(F.col("path")), text.folder(text.folder(F.col("path"))))).alias("root")).filter("root <> '' AND hash(root) % 1 = 0").distinct()
+    return V.url_paths(spark, d).select(F.explode(F.array(text.folder(F.col("path")), text.folder(text.folder(F.col("path"))))).alias("root")).filter("root <> ''").distinct()
 
 
 _ROOTS = f"{O.URL}, roots AS (SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM url_paths UNION ALL SELECT regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '^(.*)/[^/]*$', 1) FROM url_paths) WHERE root <> '')"
@@ -368,11 +368,11 @@ def _variants(spark, d) -> DataFrame:
     return v.filter("k > 0").join(a, "vec_id").select(F.col("k").cast("string").alias("kind"), "vec_id", "path", hashing.hamming(F.col("p_hash"), F.col("p0")).alias("p"), hashing.hamming(F.col("d_hash"), F.col("d0")).alias("d"))
 
 
-def _unrelated(spark, d) -> DataFrame:
-    """Distances of all pairs of a stated set of originals, against one another in blocks; only what may count is kept."""
+def _unrelated(spark, d, most: int) -> DataFrame:
+    """Distances of the pairs of originals, up to `most` bits in both."""
     from sievework.schema import Limits
 
-    return match.similar_pairs(V.vec_files(spark, d).filter("k = 0"), "path", Limits(64, 64), ("p_hash", "d_hash", "date_taken"), nested=1 << 20)
+    return match.similar_pairs(V.vec_files(spark, d).filter("k = 0"), "path", Limits(most, most), ("p_hash", "d_hash", "date_taken"), nested=None if most < 64 else 1 << 20)
 
 
 @query("threshold_grid_recall", f"WITH {_VARIANTS}, {_GRID} SELECT p_limit, d_limit, round(count(*) FILTER (p <= p_limit AND d <= d_limit) / count(p)::DOUBLE, 9) AS recall FROM g, va GROUP BY ALL")
@@ -382,7 +382,7 @@ def threshold_grid_recall(spark, d):
 
 @query("threshold_grid_fp", f"WITH {_UNREL}, {_GRID} SELECT p_limit, d_limit, count(*) FILTER (p <= p_limit AND d <= d_limit) AS false_positives FROM g, un GROUP BY ALL")
 def threshold_grid_fp(spark, d):
-    return evaluate.false_positives(_unrelated(spark, d))
+    return evaluate.false_positives(_unrelated(spark, d, evaluate.GRID[1]))  # farther pairs count nowhere on the grid
 
 
 @query("distance_percentiles", f"WITH {_VARIANTS}, q AS (SELECT k::VARCHAR AS kind, list(greatest(p, d)::INTEGER ORDER BY greatest(p, d)) AS v FROM va GROUP BY 1) SELECT kind, x::INTEGER AS percent, v[greatest(1, ceil(x * len(v) / 100.0))::INTEGER] AS distance FROM q, (VALUES (0), (5), (50), (95), (100)) t(x)")
@@ -392,7 +392,7 @@ def distance_percentiles(spark, d):
 
 @query("top_false_positives", f"WITH {_UNREL} SELECT a, b, p::INTEGER AS p, d::INTEGER AS d FROM un ORDER BY greatest(p, d), p + d, a, b LIMIT 100")
 def top_false_positives(spark, d):
-    return evaluate.top_false_positives(_unrelated(spark, d)).select("a", "b", F.col("p").cast("int").alias("p"), F.col("d").cast("int").alias("d"))
+    return evaluate.top_false_positives(_unrelated(spark, d, 64)).select("a", "b", F.col("p").cast("int").alias("p"), F.col("d").cast("int").alias("d"))
 
 
 _LOOK = f"{O.vec_groups('Similar')}, lp AS (SELECT group_id AS keeper, path AS member, p_distance AS p, d_distance AS d, CASE WHEN greatest(p_distance, d_distance) <= 2 THEN '0–2' WHEN greatest(p_distance, d_distance) <= 4 THEN '3–4' WHEN greatest(p_distance, d_distance) <= 6 THEN '5–6' WHEN greatest(p_distance, d_distance) <= 8 THEN '7–8' END AS bucket FROM gm WHERE rank > 1 AND kind <> 'Identical' AND p_distance IS NOT NULL), bk(bucket, hi) AS (VALUES ('0–2', 2), ('3–4', 4), ('5–6', 6), ('7–8', 8))"
