@@ -16,7 +16,7 @@ from sievework.sources.listing import load_cache, save_cache
 
 def arrivals(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
     """A stream of catalog rows of the files below folder. Spark's file source passes over names that begin with _ or .; sources.listing doesn't."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
     got = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("last_write"), F.upper(F.sha2("content", 256)).alias("sha256"), fingerprint_udf("content").alias("fp"), details_udf("content").alias("dt"))
     values = {"status": F.when(F.col("fp.p_hash").isNull(), DECODE_FAILED).otherwise(OK), "p_hash": F.col("fp.p_hash"), "d_hash": F.col("fp.d_hash"), "width": F.col("dt.width"), "height": F.col("dt.height"), "camera_make": text.exif_text(F.col("dt.camera_make")), "camera_model": text.exif_text(F.col("dt.camera_model")), "date_taken": text.exif_date(F.col("dt.taken_raw")), "frame_count": F.coalesce("dt.frame_count", F.lit(1)), "error": F.lit(None)}
     return got.select(*[values.get(f.name, F.col(f.name) if f.name in got.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CATALOG.fields])
