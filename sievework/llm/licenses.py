@@ -36,14 +36,14 @@ NOTICES = {
     "public domain": "public-domain",
 }
 TAGS = ("spdx license identifier", "license expression")
-TAG = re.compile(rb"(?:spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier|license[^0-9a-z\x80-\xff]+expression)[ \t]*[:=]?[ \t]*([^\r\n]*)")
+TAG = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])(?:spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier|license[^0-9a-z\x80-\U0010ffff]+expression)(?![0-9a-z\x80-\U0010ffff])[ \t]*[:=]?", re.ASCII | re.IGNORECASE)
+"""The automaton's TAGS in the text itself, where their words stand whole; it ends at the tag, so the next tag of a line is found too."""
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 #: with binds tightest, then and, then or.
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 """Lower case, and a blank for every byte outside the words. All bytes of a character beyond ASCII belong to words, so this works on UTF-8 bytes."""
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
 
@@ -56,8 +56,8 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def parse(text: str) -> list | str | None:
-    """The licence expression at the head of a line as a tree of [operator, left, right] and lower-case names; None where there is none. Reading stops at the first token that can't continue it, and an operator or parenthesis left open is dropped."""
+def parse(text: str, at: int = 0, stop: int | None = None) -> list | str | None:
+    """The licence expression that begins at a place of a text, on its line and before stop, as a tree of [operator, left, right] and lower-case names; None where there is none. Reading stops at the first token that can't continue it, and an operator or parenthesis left open is dropped."""
     out: list = []
     ops: list[str] = []
 
@@ -67,10 +67,11 @@ def parse(text: str) -> list | str | None:
         out.append([op, left, right])
 
     operand = True
-    end = 0
-    for m in TOKEN.finditer(text):
+    end = at
+    for m in TOKEN.finditer(text, at, len(text) if stop is None else stop):
         t = m[0].lower().rstrip(".")
-        if text[end : m.start()].strip():
+        gap = text[end : m.start()]
+        if gap.strip() or "\n" in gap or "\r" in gap:
             break
         end = m.end()
         if operand:
@@ -155,9 +156,10 @@ def scan(text: str | None) -> tuple:
             tagged = True
     expressions = []
     if tagged:
-        low = raw.translate(_LOWER)
-        for m in TAG.finditer(low):
-            tree = parse(low[m.start(1) : min(m.end(1), m.start(1) + 4000)].decode("utf-8", "replace"))
+        whole = raw.decode()
+        tags = [m.span() for m in TAG.finditer(whole)]
+        for (_, at), (stop, _) in zip(tags, [*tags[1:], (len(whole), None)], strict=True):
+            tree = parse(whole, at, min(stop, at + 4000))
             if tree is not None:
                 expressions.append(written(tree))
                 more |= {f"spdx:{name}" for s in choices(tree) for name in s}

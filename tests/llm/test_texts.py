@@ -73,6 +73,21 @@ def test_expressions(text, want):
     assert licenses.parse(text) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("SPDX-License-Identifier: MIT x SPDX-License-Identifier: GPL-2.0", ["gpl-2.0", "mit"]),
+        ("license expression below; SPDX-License-Identifier: MIT", ["below", "mit"]),
+        ("SPDX-License-Identifier: MIT OR spdx license identifier=(Zlib and\tISC)", ["(zlib and isc)", "mit"]),
+        ("é SPDX-License-Identifier:MIT é 漢 SPDX-License-Identifier: ISC\r\nor BSD", ["isc", "mit"]),
+        ("SPDX-License-Identifier: MIT, SPDX-License-Identifiers: A SPDX-License-Identifieré: B", ["mit"]),
+        ("SPDX-License-Identifier:\nMIT", []),
+    ],
+)
+def test_every_tag_of_a_line(text, want):
+    assert licenses.scan(text)[7] == want
+
+
 def test_media():
     for t in TEXTS:
         b = t.encode()
