@@ -110,25 +110,39 @@ def parse(text: str, at: int = 0, stop: int | None = None) -> list | str | None:
     return out[-1] if out else None
 
 
-def choices(tree: list | str | None, most: int = 64) -> list[frozenset[str]]:
-    """The sets of licences each of which satisfies the expression, in order: or offers either side's, and joins them, with makes one name of a licence and its exception. An expression of over `most` choices is given as the one set of all its names."""
+def names(tree: list | str | None, most: int = 1 << 18) -> set[str]:
+    """All licences the expression names; with makes one name of a licence and its exception. A with that would make over `most` names, which no valid expression does, gives both sides' names as they are."""
     if tree is None:
-        return []
-    if isinstance(tree, str):
-        return [frozenset({tree})]
-    left, right = choices(tree[1], most), choices(tree[2], most)
-    if tree[0] == "or":
-        found = left + right
-    elif tree[0] == "and":
-        found = [a | b for a in left for b in right]
-    else:
-        found = [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
-    found = list(dict.fromkeys(found))
-    return found if len(found) <= most else [frozenset().union(*found)]
+        return set()
+    todo, sets = [(tree, False)], []
+    while todo:
+        t, ready = todo.pop()
+        if isinstance(t, str):
+            sets.append({t})
+        elif not ready:
+            todo += [(t, True), (t[2], False), (t[1], False)]
+        else:
+            right, left = sets.pop(), sets.pop()
+            if t[0] == "with" and len(left) * len(right) <= most:
+                sets.append({f"{x} with {y}" for x in left for y in right})
+            else:
+                # the smaller set is put into the larger, so a long chain takes no square of time
+                small, large = sorted((left, right), key=len)
+                large |= small
+                sets.append(large)
+    return sets[0]
 
 
 def written(tree: list | str) -> str:
-    return tree if isinstance(tree, str) else f"({written(tree[1])} {tree[0]} {written(tree[2])})"
+    """The tree as text, each operation in parentheses."""
+    todo, out = [tree], []
+    while todo:
+        t = todo.pop()
+        if isinstance(t, str):
+            out.append(t)
+        else:
+            todo += [")", t[2], f" {t[0]} ", t[1], "("]
+    return "".join(out)
 
 
 def scan(text: str | None) -> tuple:
@@ -159,10 +173,10 @@ def scan(text: str | None) -> tuple:
         whole = raw.decode()
         tags = [m.span() for m in TAG.finditer(whole)]
         for (_, at), (stop, _) in zip(tags, [*tags[1:], (len(whole), None)], strict=True):
-            tree = parse(whole, at, min(stop, at + 4000))
+            tree = parse(whole, at, stop)
             if tree is not None:
                 expressions.append(written(tree))
-                more |= {f"spdx:{name}" for s in choices(tree) for name in s}
+                more |= {f"spdx:{name}" for name in names(tree)}
     places = [x for x in starts if x is not None]
     score = 1.0 if expressions else 1.0 - 0.5 ** len(starts)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score, sorted(set(expressions))

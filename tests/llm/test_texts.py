@@ -88,6 +88,19 @@ def test_every_tag_of_a_line(text, want):
     assert licenses.scan(text)[7] == want
 
 
+@pytest.mark.parametrize("op,shape", [("OR", "{}"), ("AND", "{}"), ("OR", "({}")])
+def test_long_expressions(op, shape):
+    all_names = [f"licence-{i}" for i in range(5000)]
+    got = licenses.scan("SPDX-License-Identifier: " + f" {op} ".join(shape.format(x) for x in all_names) + " end here")
+    assert got[5].split(",") == sorted(f"spdx:{x}" for x in all_names)
+    assert len(got[7]) == 1 and re.findall(r"licence-\d+", got[7][0]) == all_names
+
+
+def test_names():
+    assert licenses.names(licenses.parse("(a or b) with e and c")) == {"a with e", "b with e", "c"}
+    assert licenses.names(licenses.parse("(a or b) with (c or d)"), 3) == {"a", "b", "c", "d"}
+
+
 def test_media():
     for t in TEXTS:
         b = t.encode()
