@@ -1,6 +1,8 @@
 """Operator 8: document fingerprints by winnowing, in DataFrame operations only.
 
-The k-grams are of K words; each is hashed, and of every window of WINDOW consecutive k-grams the least hash is selected, the rightmost of equals. A fingerprint is the distinct selections, each a hash with its position, so two texts that share WINDOW + K - 1 consecutive words share a selection at known places. A selection is one long: the hash's upper 40 bits, then 24 bits that fall as the position grows, so that the least long is the least hash, rightmost.
+The k-grams are of K words; each is hashed, and of every window of WINDOW consecutive k-grams the least hash is selected, the rightmost of equals. A selection is one long: the hash's upper 40 bits, then 24 bits that fall as the position grows, so that the least long is the least hash, rightmost.
+
+A fingerprint is the distinct selections, each a hash with its position. A word of over LONG characters counts as so many words of one character, so text without blanks is fingerprinted too: two texts that share WINDOW + K - 1 such consecutive words share a selection at known places. A text of up to SHORT characters is fingerprinted by its characters besides, and two such texts are compared by those. Both sizes are chosen so that a text with its last third replaced shares a selection with itself: over SHORT characters the rest holds WINDOW + K - 1 whole words, runs of blanks counted as one; up to that its k-grams fill a window.
 """
 
 from __future__ import annotations
@@ -13,6 +15,13 @@ from .common import cut, lower_ascii, table, tasks
 
 K = 5
 WINDOW = 12
+LONG = 24
+SHORT = 640
+"""(WINDOW + K - 1) words of LONG characters, their blanks and a word that is cut come to two thirds of so many characters."""
+CHARS, CHAR_WINDOW = 8, 16
+TINY = 24
+"""Up to so many characters, all grams of TINY_CHARS characters are selected."""
+TINY_CHARS = (2, 4, 8)
 PLACES = (1 << 24) - 1
 NO_ID = -(2**63) + 1
 """Stands for a null doc_id in keys."""
@@ -28,13 +37,52 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def selections(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The fingerprint as an array of longs in order of position. Fewer than k words: one k-gram of them all; no word: empty. Fewer k-grams than a window: one window of them all. Positions count modulo 2 ** 24."""
-    gram = lambda w, i: F.xxhash64(F.slice(w, i + 1, k))
-    packed = lambda w, i: gram(w, i).bitwiseAND(F.lit(~PLACES)).bitwiseOR((F.lit(PLACES) - i.bitwiseAND(F.lit(PLACES))).cast("long"))
+def grams(units: Column, k: int | Column) -> Column:
+    """The packed hashes of the k-grams of an array; fewer than k: one of them all."""
+    packed = lambda i: F.xxhash64(F.slice(units, i + 1, k)).bitwiseAND(F.lit(~PLACES)).bitwiseOR((F.lit(PLACES) - i.bitwiseAND(F.lit(PLACES))).cast("long"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(units) - k)), packed)
+
+
+def winnow(units: Column, k: int, window: int | Column) -> Column:
+    """The distinct selections of an array that has any."""
     least = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - window + 1)), lambda i: F.array_min(F.slice(v, i, window)))
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - k)), lambda i: packed(w, i))
-    return let(words(text), lambda w: F.when(F.size(w) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(F.array_distinct(let(grams(w), least))))
+    return F.array_distinct(let(grams(units, k), least))
+
+
+def none() -> Column:
+    return F.expr("cast(array() as array<bigint>)")
+
+
+def selections(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The selections by words as an array of longs in order of position. Fewer than k words: one k-gram of them all; no word: empty. Fewer k-grams than a window: one window of them all. Positions count modulo 2 ** 24."""
+    return let(words(text), lambda w: F.when(F.size(w) == 0, none()).otherwise(winnow(w, k, window)))
+
+
+def pieces(text: Column) -> Column:
+    """The text's words, those of over LONG characters as their characters."""
+    long = lambda w: F.length(w) > LONG
+    return let(words(text), lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))))).otherwise(ws))
+
+
+def char_selections(text: Column) -> Column:
+    """The selections by characters of a text of up to SHORT of them, blanks included; a longer one: empty."""
+
+    def chosen(c: Column) -> Column:
+        n = F.size(c)
+        kept = n - (n / 3).cast("int")
+        sizes = F.when(n == 1, F.array(F.lit(1))).otherwise(F.filter(F.array(*map(F.lit, TINY_CHARS)), lambda k: k <= n))
+        every = F.array_distinct(F.flatten(F.transform(sizes, lambda k: grams(c, k))))
+        return F.when(n <= TINY, every).otherwise(winnow(c, CHARS, F.least(F.lit(CHAR_WINDOW), kept - CHARS + 1)))
+
+    n = F.length(text)
+    return F.when((n > 0) & (n <= SHORT), let(F.split(lower_ascii(text), ""), chosen)).otherwise(none())
+
+
+def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """(words, chars): the selections by pieces, and by characters where the text is short. Null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    by_words = let(pieces(text), lambda w: F.when(F.size(w) == 0, none()).otherwise(winnow(w, k, window)))
+    return F.struct(by_words.alias("words"), char_selections(text).alias("chars"))
 
 
 def hashes(selected: Column) -> Column:
@@ -46,15 +94,26 @@ def positions(selected: Column) -> Column:
     return F.transform(selected, lambda v: F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES)))
 
 
-def digest(selected: Column) -> Column:
-    return F.md5(selected.cast("string"))
+def whole(f: Column) -> Column:
+    """All selections of a fingerprint, those by words first."""
+    return F.concat(f["words"], f["chars"])
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints' hashes; two empty ones: 1."""
+def digest(f: Column) -> Column:
+    return F.md5(whole(f).cast("string"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays' hashes; two empty ones: 1."""
     return let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda both: F.when(F.size(s["a"]) + F.size(s["b"]) == 0, 1.0).otherwise(both / (F.size(s["a"]) + F.size(s["b"]) - both))))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two fingerprints are: by characters where both texts are short and one of them has a word, else by words."""
+    by_chars = (F.size(a["chars"]) > 0) & (F.size(b["chars"]) > 0) & (F.size(a["words"]) + F.size(b["words"]) > 0)
+    return F.when(by_chars, jaccard(a["chars"], b["chars"])).otherwise(jaccard(a["words"], b["words"]))
+
+
 def key() -> tuple[Column, Column]:
     """A row's key without nulls, so that joins and windows on it share one shuffle."""
     return F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("d")
@@ -76,8 +135,8 @@ def chain(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, selected: the operator itself; narrow."""
-    return docs.select("doc_id", selections(F.col("text"), k, window).alias("selected"))
+    """docs (doc_id, text) -> doc_id, selected (words, chars): the operator itself; narrow."""
+    return docs.select("doc_id", fingerprint(F.col("text"), k, window).alias("selected"))
 
 
 def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -90,17 +149,17 @@ def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     one = Window.partitionBy("id", "d").orderBy("d")
     sent = (
         linked.withColumn("i", F.row_number().over(one)).filter("i = 1")
-        .select(F.col("prev.id").alias("id"), F.col("prev.d").alias("d"), F.expr("substring(text, 1, prev.n div 3)").alias("prefix"), selections(F.col("text"), k, window).alias("next_selected"))
+        .select(F.col("prev.id").alias("id"), F.col("prev.d").alias("d"), F.expr("substring(text, 1, prev.n div 3)").alias("prefix"), fingerprint(F.col("text"), k, window).alias("next_selected"))
     )
     both = linked.drop("prev").join(sent.hint("shuffle_merge"), ["id", "d"])
     third = F.expr("n div 3").cast("int")
     result = let(
         F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring("prefix", F.lit(1), third)),
         lambda e: let(
-            F.struct(e.alias("e"), selections(F.col("text"), k, window).alias("f"), selections(e, k, window).alias("g")),
+            F.struct(e.alias("e"), fingerprint(F.col("text"), k, window).alias("f"), fingerprint(e, k, window).alias("g")),
             lambda s: F.struct(
                 F.sha2(s["e"].cast("binary"), 256).alias("edited_sha256"), digest(s["f"]).alias("fingerprint"), digest(s["g"]).alias("edited_fingerprint"),
-                likeness(s["f"], s["g"]).alias("near_edited"), likeness(s["f"], F.col("next_selected")).alias("near_next"), F.size(s["f"]).alias("n_selected"),
+                likeness(s["f"], s["g"]).alias("near_edited"), likeness(s["f"], F.col("next_selected")).alias("near_next"), F.size(whole(s["f"])).alias("n_selected"),
             ),
         ),
     )

@@ -218,6 +218,28 @@ def test_winnowing(spark, docs, none):
         assert picks == [(v >> 24, winnowing.PLACES - (v & winnowing.PLACES)) for v in r.f]
 
 
+def test_winnowing_of_what_is_kept(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(chr(r.randrange(97, 123)) for _ in range(n))
+    texts = [word(n) for n in (*range(1, 50), 90, 639, 640, 641, 642, 3000)]
+    texts += [" ".join(word(r.randrange(1, 8)) for _ in range(n)) for n in (2, 3, 4, 5, 8, 12, 16, 20, 23, 24, 100, 110, 150)]
+    texts += [" ".join(word(24) for _ in range(n)) for n in (20, 25, 26, 27, 30)] + [" ".join(word(25) for _ in range(26))]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (4, 20, 500, 2000)] + ["x" * 30 + " a b " + word(500)]
+    rows = spark.createDataFrame([(i, t) for j in (0, 1) for i, t in enumerate(texts if j else texts[::-1], j * len(texts))] + [(-1, None)], "doc_id long, text string")
+    got = winnowing.edits(rows).collect()
+    assert [r for r in got if r.n_chars and not r.near_edited] == []
+    # against every text that takes the place of the last third, or none
+    short = [t for t in texts if len(t) < 700]
+    pairs = spark.createDataFrame([(t, t[: len(t) - len(t) // 3] + b[: len(t) // 3]) for t in short for b in ("", r.choice(short), " " * 999, r.choice(short), "1 " * 500)], "a string, b string")
+    assert pairs.select("*", winnowing.likeness(winnowing.fingerprint(F.col("a")), winnowing.fingerprint(F.col("b"))).alias("s")).filter("s = 0").collect() == []
+    # other texts stay unlike, and what shares its words across the limit stays alike
+    mean = sum(r.near_next for r in got) / len(got)
+    assert mean < 0.1
+    t = (" ".join(word(5) for _ in range(200)))[: winnowing.SHORT]
+    one = spark.createDataFrame([(t, t + " and so on")], "a string, b string").select(winnowing.likeness(winnowing.fingerprint(F.col("a")), winnowing.fingerprint(F.col("b"))).alias("s")).first()
+    assert one.s > 0.8
+
+
 def test_sentencepiece(docs, none):
     assert sentencepiece_scan.encode(none).count() == 0
     whole = {(r.doc_id, r.n_chars, r.decoded_sha256) for r in sentencepiece_scan.encode(docs).collect()}
