@@ -1,6 +1,6 @@
 """Operator 10: language identification by word-first backoff.
 
-A known word scores by the logarithm of its frequency in each language; an unseen word falls back to the longest character n-grams of it that are known, from N down to single letters. The model comes from a bounded sample of labelled documents (PER_LANGUAGE texts of up to SAMPLE_CHARS characters a language, drawn by a hash) and keeps bounded tables, so that it can be sent to every task; every document is then judged on its whole text.
+A known word scores by the logarithm of its frequency in each language; an unseen word falls back to the longest character n-grams of it that are known, from N down to single letters. The model comes from a bounded sample of labelled documents (PER_LANGUAGE texts of up to SAMPLE_CHARS characters a language, fewer where there are over LANGUAGES languages, drawn by a hash) and keeps bounded tables, so that it can be sent to every task; every document is then judged on its whole text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ PER_LANGUAGE = 300
 SAMPLE_CHARS = 6_000
 """Characters that a document gives to that fit, at most. A bound on the fit alone: no prediction is cut."""
 LANGUAGES = 200
+"""Languages up to which each has its full share. Where there are more, each is fitted on fewer documents and keeps fewer words and n-grams, one at least; none is left out."""
 WORDS = 20_000
 """Most frequent words kept for a language."""
 GRAMS = 20_000
@@ -56,14 +57,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def share(limit: int, languages: int, power: int = 1) -> int:
+    """What is left of a language's limit among so many languages."""
+    return max(1, limit * LANGUAGES**power // max(LANGUAGES, languages) ** power)
+
+
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
     """(lang, text) of a bounded sample of labelled (text, lang): distinct texts in the order of their digest, so that reruns draw alike. First each part keeps its own candidates, so no language is sorted in one task."""
     parts = 64
+    each = share(PER_LANGUAGE, labelled.select("lang").distinct().count())
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", F.md5("text").alias("d"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("p", F.pmod(F.xxhash64("d"), F.lit(parts)))
     light = rows.select("lang", "d", "p").distinct()
-    first = light.withColumn("i", F.row_number().over(Window.partitionBy("lang", "p").orderBy("d"))).filter(F.col("i") <= PER_LANGUAGE)
-    drawn = first.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("d"))).filter(F.col("i") <= PER_LANGUAGE)
-    ends = drawn.groupBy("lang").agg(F.max("d").alias("last")).orderBy("lang").limit(LANGUAGES)
+    first = light.withColumn("i", F.row_number().over(Window.partitionBy("lang", "p").orderBy("d"))).filter(F.col("i") <= each)
+    drawn = first.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("d"))).filter(F.col("i") <= each)
+    ends = drawn.groupBy("lang").agg(F.max("d").alias("last"))
     got = rows.join(F.broadcast(ends), "lang").filter("d <= last").groupBy("lang", "d").agg(F.first("t").alias("t"))
     return sorted((r.lang, r.t) for r in got.collect())
 
@@ -71,17 +78,19 @@ def sample(labelled: DataFrame) -> list[tuple[str, str]]:
 def fit(texts: list[tuple[str, str]]) -> Model:
     """Log frequencies with add-half smoothing over the languages' sample counts."""
     languages = sorted({lang for lang, _ in texts})
+    # a table has a column a language, so the square keeps its size
+    n_words, n_grams = (share(limit, len(languages), 2) for limit in (WORDS, GRAMS))
     words = {lang: Counter() for lang in languages}
     for lang, text in texts:
         words[lang].update(WORD.findall(text.lower()))
-    keep = sorted({w for c in words.values() for w, n in c.most_common(WORDS) if n >= SEEN})
+    keep = sorted({w for c in words.values() for w, n in c.most_common(n_words) if n >= SEEN})
     grams = {lang: [Counter() for _ in range(N)] for lang in languages}
     for lang, c in words.items():
         for w, n in c.items():
             for k in range(1, N + 1):
                 for i in range(len(w) - k + 1):
                     grams[lang][k - 1][w[i : i + k]] += n
-    kept = sorted({g for by in grams.values() for c in by for g, n in c.most_common(GRAMS) if n >= SEEN or len(g) == 1})
+    kept = sorted({g for by in grams.values() for c in by for g, n in c.most_common(n_grams) if n >= SEEN or len(g) == 1})
 
     def rows(keys: list[str], count) -> np.ndarray:
         out = np.empty((len(keys), len(languages)))

@@ -255,3 +255,15 @@ def test_language(docs, none):
     assert all(r.lang_pred in ("x", "y", "und") and 0 <= r.score <= 1 for r in got)
     blank = {x[0] for x in ROWS if not re.search(r"[^\W\d_]", x[1] or "")}
     assert {r.doc_id for r in got if r.lang_pred == "und" and r.doc_id is not None} == blank - {None}
+
+
+def test_many_languages(spark):
+    r = random.Random(9)
+    n = language.LANGUAGES + 40
+    own = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(5)] for i in range(n)}
+    texts = [(lang, " ".join(r.choice(words) for _ in range(60))) for lang, words in own.items() for _ in range(3)]
+    drawn = language.sample(spark.createDataFrame(texts, "lang string, text string"))
+    assert drawn == sorted(texts)
+    judge = language.Judge(language.fit(drawn))
+    assert [lang for lang, words in own.items() if judge.judge(" ".join(words))[0] != lang] == []
+    assert language.share(300, 4) == 300 and language.share(300, 200) == 300 and language.share(300, 400) == 150 and language.share(300, 10**6) == 1
