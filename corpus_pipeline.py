@@ -19,10 +19,12 @@ REPEAT = 200
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told stay, whatever it is; null, empty and letterless texts go. A null lang takes the language found."""
+    """Documents in which a language can be told stay, whatever it is; null, empty and letterless texts go. A null lang takes the language found. Where no row may be learned from, no language can be told: all but null, empty and letterless texts stay, and a null lang stays null."""
     model = language.fit(language.sample(language.training(docs)))
-    judged = language.identify(docs.select(*COLUMNS), model, COLUMNS)
-    return judged.filter(F.col("lang_pred") != language.UNDETERMINED).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    told = F.col("lang_pred") if model.languages else F.lit(None).cast("string")
+    # a model of one language without words judges every text with letters to be in it
+    judged = language.identify(docs.select(*COLUMNS), model if model.languages else language.fit([("any", "")]), COLUMNS)
+    return judged.filter(F.col("lang_pred") != language.UNDETERMINED).select("doc_id", "text", F.coalesce("lang", told).alias("lang"), "source", "n_chars")
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

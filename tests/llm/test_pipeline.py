@@ -30,3 +30,10 @@ def test_no_rows(spark):
         docs = stage(spark, docs, "")
     assert docs.count() == 0 and "ids" in docs.columns
     assert sentencepiece_scan.ENCODED
+
+
+def test_language_without_labels(spark):
+    texts = ["clean words", "漢字", None, "", "12 34 !?", "é"]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.stage_language(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(0, "clean words", None), (1, "漢字", None), (5, "é", None)]
