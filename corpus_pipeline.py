@@ -29,8 +29,11 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (SHINGLE words, PERCENT similarity) the document of the least doc_id stays; rows without a doc_id are kept only where no numbered document is in their group."""
-    gone = minhash.near_duplicates(docs, SHINGLE, PERCENT).filter("NOT kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    # a row is known by its doc_id and its text, as several may share either
+    number = F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("id")
+    rows = docs.select(*COLUMNS, number, F.xxhash64(F.coalesce("text", F.lit(""))).alias("d"))
+    gone = minhash.near_duplicates(rows, SHINGLE, PERCENT, ("d",)).filter("NOT kept").select(number, "d")
+    return rows.join(gone, ["id", "d"], "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

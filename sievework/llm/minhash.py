@@ -97,17 +97,18 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 SKETCH = "doc_id long, n_shingles long, digest binary, regs binary"
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, digest of the set (null: empty set), regs. Narrow."""
+def sketches(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, keep...) -> doc_id, n_shingles, digest of the set (null: empty set), regs, keep... Narrow."""
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingles([(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")], k)
                 regs = registers(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()), *(part.column(n) for n in keep)], ["doc_id", "n_shingles", "digest", "regs", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, SKETCH + kept)
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -185,11 +186,11 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     return cut(both.mapInArrow(confirm, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked; component_id is the least doc_id reachable.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, keep...) -> doc_id, n_shingles, keep..., component_id, kept. Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked; component_id is the least doc_id reachable.
 
     Words: runs other than white space, A-Z in lower case. Fewer than k words: the whole sequence is the one shingle. Null, empty or blank text: an empty set, linked with nothing and kept. Equal sets are linked, so all but the least doc_id of a group of copies go. Repeated rows of one doc_id share its result. Null doc_id: the row takes part and belongs to a component, but is the least of none; kept where its component has no other id. Empty table: empty result. Other columns are ignored. Sets are compared by 64-bit hashes of their shingles."""
-    whole = cut(sketches(docs, k))
+    whole = cut(sketches(docs, k, keep))
     nodes = cut(whole.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     cells = band_keys(nodes)
     hubs = cut(cells.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
@@ -234,8 +235,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     node_of = nodes.select("node", "digest", "doc_id", F.col("copies").alias("n")).join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     least = node_of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
     named = cut(lookup(node_of.withColumnRenamed("n", "copies"), least.withColumnRenamed("m", "n"), "component", max(1, nodes.count())).select("digest", "component_id", F.col("copies").alias("n")))
-    some = lookup(whole.filter("digest IS NOT NULL").select("doc_id", "n_shingles", "digest"), named, "digest", whole.count()).select("doc_id", "n_shingles", "component_id")
-    none = whole.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = lookup(whole.filter("digest IS NOT NULL").select("doc_id", "n_shingles", "digest", *keep), named, "digest", whole.count()).select("doc_id", "n_shingles", *keep, "component_id")
+    none = whole.filter("digest IS NULL").select("doc_id", "n_shingles", *keep, F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 

@@ -37,3 +37,11 @@ def test_language_without_labels(spark):
     docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.stage_language(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(0, "clean words", None), (1, "漢字", None), (5, "é", None)]
+
+
+def test_near_duplicates_by_row(spark):
+    copy = "one two three four five six seven"
+    rows = [(1, copy), (None, copy), (2, copy), (2, "this text stands alone of its kind here"), (None, "and this one has no number at all"), (None, None), (3, copy.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.stage_near_duplicates(spark, docs, "").collect()}
+    assert got == {rows[0], rows[3], rows[4], rows[5]}
