@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, scratch, table, utf8
+from .common import cut, lookup, salted, scratch, table, utf8
 
 UNIT = 192
 """Payloads are padded with blanks to a positive multiple of so many bytes: the width of the stored image."""
@@ -183,10 +183,17 @@ def resolve(refs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def with_payloads(seqs: DataFrame, id_col: str, stored: DataFrame) -> DataFrame:
-    """Whole sequences with the stored bytes in their place: id, items of (pos, kind, text, ref, caption, content). For callers that want the interleaved document itself; payloads and texts are shuffled by id."""
-    items = seqs.select(id_col, F.explode("items").alias("m")).select(id_col, "m.*").withColumn("digest", F.regexp_extract(F.coalesce("ref", F.lit("")), "^sha256:([0-9a-f]{64})$", 1))
-    found = items.join(stored.dropDuplicates(["digest"]), "digest", "left")
-    return found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "ref", "caption", "content"))).alias("items"))
+    """Whole sequences with the stored bytes in their place: a row for each row, of id and items of (pos, kind, text, ref, caption, content). content: null for text and where nothing is stored under the reference's digest. Rows that share an id, or have none, stay apart; a row without items keeps none.
+
+    For callers that want the interleaved document itself. Only media references meet the payloads, a digest that many of them share is no hot key, and the texts are shuffled once, whole, by row."""
+    rows = cut(seqs.select(id_col, "items").withColumn("_row", F.monotonically_increasing_id()))
+    refs = cut(references(rows, "_row").filter("digest <> ''").select("_row", "pos", "digest", F.xxhash64("_row", "pos").alias("_deal")))
+    counts = refs.groupBy("digest").agg(F.count("*").alias("n"))
+    one = stored.select("digest", "content").join(counts.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    found = salted(refs, one, "digest", counts, refs.count(), "_deal").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "content"))).alias("_found"))
+    fields = ("pos", "kind", "text", "ref", "caption")
+    filled = F.transform("items", lambda m: F.struct(*(m[f].alias(f) for f in fields), F.try_element_at("_found", m["pos"]).alias("content")))
+    return rows.join(found.hint("shuffle_merge"), "_row", "left").select(id_col, filled.alias("items"))
 
 
 def as_page(text: Column, digest: Column, caption: Column) -> Column:

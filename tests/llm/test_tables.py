@@ -90,6 +90,20 @@ def test_media(docs, none):
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == Counter((x[0], len((x[1] or "").encode()), hashlib.sha256(pad((x[1] or "").encode())).hexdigest()) for x in ROWS)
 
 
+def test_payloads_in_their_place(spark):
+    a, b = "a" * 64, "b" * 64
+    img = lambda d: f'<img src="sha256:{d}" alt="c">'
+    htmls = [(1, f"<p>x</p>{img(a)}<p>y</p>{img(b)}{img(a)}"), (1, "<p>again</p>"), (2, ""), (3, None), (None, img(b)), (None, "<p>z</p>"), (4, img("c" * 64) + '<img src="http://x">')]
+    htmls += [(i, img(a)) for i in range(100, 300)]
+    seqs = media.sequences(spark.createDataFrame(htmls, "page_id long, html string").repartition(3), "page_id")
+    stored = spark.createDataFrame([(a, b"A"), (a, b"A"), (b, b"B")], "digest string, content binary")
+    got = media.with_payloads(seqs, "page_id", stored)
+    have = Counter((r.page_id, tuple((m.pos, m.kind, m.text, m.ref, m.caption, m.content and bytes(m.content)) for m in r["items"])) for r in got.collect())
+    held = {f"sha256:{a}": b"A", f"sha256:{b}": b"B"}
+    assert have == Counter((i, tuple((m["pos"], m["kind"], m["text"], m["ref"], m["caption"], held.get(m["ref"])) for m in media.sequence(h))) for i, h in htmls)
+    assert media.with_payloads(seqs.limit(0), "page_id", stored).count() == 0
+
+
 def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
     got = mixing.mix(docs).collect()
