@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.durable import checkpoint_dir, cut, release
+from sievework.functions.durable import Shelf, checkpoint_dir, cut, freeing, release
+from sievework.functions.hot import known, lookup, salted, wanted
 
-__all__ = ["cut", "keep", "known", "lookup", "lower_ascii", "release", "salted", "scratch", "table", "tasks", "utf8"]
+__all__ = ["Shelf", "cut", "keep", "known", "lookup", "lower_ascii", "release", "salted", "scratch", "slices", "table", "tasks", "utf8", "wanted"]
 
 WHITE = "[^\\x20\\x09-\\x0D]+"
 """A word of the contracts on sizes and shingles."""
@@ -23,7 +24,8 @@ def scratch(spark: SparkSession, what: str) -> str:
 def keep(df: DataFrame, what: str) -> DataFrame:
     """df as a compressed table in the shared folder: a cut for what would be large as a checkpoint."""
     to = scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(to)
+    with freeing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
@@ -45,62 +47,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-HOT_SHARE = 1000
-"""A key with over 1/HOT_SHARE of the rows is hot; so there are fewer than HOT_SHARE hot keys, whatever the input."""
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
-    """left join right on key, where right has one row for each key and a count `n` of left rows that hold it.
-
-    Keys with n over rows / HOT_SHARE are fewer than HOT_SHARE by counting, so they are broadcast and their left rows stay where they are; the other keys are joined by a shuffle in which none is hot. how: inner or left. Null keys match nothing."""
-    line = max(rows // HOT_SHARE, 64)
-    hot = F.broadcast(right.filter(F.col("n") > line))
-    mark = F.broadcast(right.filter(F.col("n") > line).select(F.col(key).alias("_hot")))
-    few = left.join(hot, key, "inner")
-    rest = left.join(mark, F.col(key) == F.col("_hot"), "left_anti").join(right.filter(F.col("n") <= line).hint("shuffle_merge"), key, how)
-    return few.unionByName(rest)
-
-
-def known(left: DataFrame, counts: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
-    """lookup() where only the count is wanted: left with `n`, 2 or more where counts (key, n > 1) has the key. The hot keys, fewer than HOT_SHARE by counting, are tested by value where the rows are."""
-    line = max(rows // HOT_SHARE, 64)
-    hot = [F.lit(r[0]) for r in counts.filter(F.col("n") > line).select(key).collect()]
-    if not hot:
-        return left.join(counts.hint("shuffle_merge"), key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = left.filter(is_hot).withColumn("n", F.lit(line + 1).cast("long"))
-    return few.unionByName(left.filter(~is_hot).join(counts.filter(F.col("n") <= line).hint("shuffle_merge"), key, how))
-
-
-def salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, rows: int, spread: str) -> DataFrame:
-    """left inner join right on key, for right rows too large to broadcast: a hot key's right row is copied once for each `rows / HOT_SHARE` left rows that hold it, and its left rows are dealt over the copies by the column spread.
-
-    counts: (key, n), the left rows of each key. Only the hot keys with their numbers of copies, under HOT_SHARE rows, are broadcast; the copies come to HOT_SHARE more right rows at most."""
-    line = max(rows // HOT_SHARE, 64)
-    hot = F.broadcast(counts.filter(F.col("n") > line).select(key, F.ceil(F.col("n") / line).cast("int").alias("_copies")))
-    one = F.coalesce("_copies", F.lit(1))
-    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_copies")
-    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_copies")
-    return dealt.join(copied.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
-
-
-BLOOM = 256
-"""Buckets of 32,768 bits each in the filter of wanted(): 1 MB at any size."""
-
-
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("bloom"), key), F.lit(BLOOM * 32_768))
-
-
-def wanted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of df whose key is among ids, and by chance some others: those whose bit is set in a bitmap of fixed size, which is all that is broadcast. What follows joins exactly; this spares it the rows it would drop."""
-    at = _bit(F.col(key))
-    maps = ids.select(at.alias("_at")).groupBy((F.col("_at") / 32_768).cast("int").alias("_b")).agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_map"))
-    one = df.withColumn("_at", at).withColumn("_b", (F.col("_at") / 32_768).cast("int")).join(F.broadcast(maps), "_b")
-    byte = F.conv(F.hex(F.expr("substring(_map, cast((_at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return one.filter(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).drop("_at", "_b", "_map")
-
-
 def slices(batch, size: int = 4 << 20):
     """An Arrow batch in parts of about `size` bytes."""
     step = max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.nbytes)))

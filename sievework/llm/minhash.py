@@ -2,22 +2,24 @@
 
 A register keeps the least of exponential variates that the shingles draw, on an exponential scale and truncated to 16 bits: K = floor(1 - log_B(min)), within 0 and 65,535. Registers of a union are the greater of two, so sketches merge; two sets agree in a register about as often as their similarity. Bands of registers bring candidates together; of a candidate pair the similarity is estimated by maximum likelihood from the numbers of registers that are greater, equal and less, given both set sizes; what may reach the threshold is verified on the full sets.
 
-No bucket is expanded into pairs. Documents of one set are one node. In each bucket every node is compared with the bucket's least node; linked nodes become one component; where a bucket still holds several, further nodes take the part of the least; at last whatever isn't in a bucket's largest component is compared with all of the bucket that it isn't joined to. So no pair that shares a bucket is left undecided, and the pairs stay about as many as the nodes.
+No bucket is expanded into pairs. Documents of one set are one node. Every node is first compared with the least node of all its buckets, and linked nodes become one component. A bucket of several components stays open: each of its nodes outside its largest component is compared with one node of that, in rounds, as long as these are worth it; at last whatever isn't in a bucket's largest component is compared with all of the bucket that it isn't joined to, in blocks that return links alone. So no pair that shares a bucket is left undecided, and the pairs stay about as many as the nodes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.components import connected_components
 
-from .common import cut, lookup, release, salted, slices, table, wanted
+from . import blocks
+from .common import Shelf, cut, lookup, salted, slices, table, wanted
 from .shingling import shingles
 
 ROWS, BANDS = 6, 48
@@ -28,9 +30,8 @@ RATE = 20.0
 TOP = 65_535
 SIGMAS = 5.0
 """A pair is verified unless its estimate is this many standard deviations below the threshold."""
-HUB_ROUNDS = 6
-ENOUGH = 4
-"""Rounds with further hubs go on until the comparisons that are left are so many for each row of the buckets, or HUB_ROUNDS are over; then all of them are made."""
+ENOUGH = 256
+"""Rounds go on until the comparisons that are left are so many for each row of the buckets, or a round has settled less than a tenth of them; then all of them are made, in blocks."""
 WORK = 1 << 15
 _A, _B = (x.astype(np.uint32) | np.uint32(1) for x in np.random.default_rng(77).integers(0, 1 << 32, (2, M), dtype=np.uint64))
 
@@ -94,58 +95,58 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (lo + hi) / 2
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, regs binary"
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each sketch and band (sketches x BANDS, int64)."""
+    codes = np.random.default_rng(5).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+    salt = np.random.default_rng(6).integers(1, 1 << 63, BANDS, dtype=np.uint64)
+    parts = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = salt + np.zeros((len(parts), 1), np.uint64)
+    for j in range(ROWS):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (parts[:, :, j] + np.uint64(1)) * codes[:, j]
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, keep...) -> doc_id, n_shingles, digest of the set (null: empty set), regs, keep... Narrow."""
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+def _sets(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray, pa.Array]:
+    """The shingle sets of a batch's texts, their registers and their digests (null: empty set)."""
+    sets = shingles([(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")], k)
+    return sets, registers(sets), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = shingles([(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")], k)
-                regs = registers(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()), *(part.column(n) for n in keep)], ["doc_id", "n_shingles", "digest", "regs", *keep])
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, SKETCH + kept)
+def _id() -> Column:
+    """doc_id without nulls, for joins."""
+    return F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("id")
 
 
-def band_keys(nodes: DataFrame) -> DataFrame:
-    """nodes (node, regs) -> a row (key, node) for each band."""
+def sketches(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, keep...) -> doc_id, n_shingles, digest of the set (null: empty set), bands (their keys), keep... Narrow."""
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.random.default_rng(5).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-        salt = np.random.default_rng(6).integers(1, 1 << 63, BANDS, dtype=np.uint64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column("node").to_numpy()
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = salt + np.zeros((len(node), 1), np.uint64)
-            for j in range(ROWS):
-                key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (regs[:, :, j] + np.uint64(1)) * codes[:, j]
-            key ^= key >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], ["key", "node"])
+            for part in slices(batch):
+                sets, regs, digests = _sets(part, k)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band_keys(regs).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digests, bands, *(part.column(n) for n in keep)], ["doc_id", "n_shingles", "digest", "bands", *keep])
 
-    return nodes.select("node", "regs").mapInArrow(run, "key long, node long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>" + kept)
 
 
 def full_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """need (node, digest, doc_id) -> node, items: the node's whole set, from its document's text."""
+    """need (node, id, digest) -> node, n, regs, items: the node's whole set and its sketch, from its document's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = shingles([(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")], k)
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
+                sets, regs, digests = _sets(part, k)
+                yield pa.RecordBatch.from_arrays([part.column("id"), digests, pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "n", "regs", "items"])
 
-    found = wanted(docs.select("doc_id", "text"), need.select("doc_id")).select("text").mapInArrow(run, "digest binary, items binary")
-    return found.join(need.select("node", "digest").hint("shuffle_merge"), "digest").select("node", "items").dropDuplicates(["node"])
+    found = wanted(docs.select(_id(), "text"), need.select("id"), "id").mapInArrow(run, "id long, digest binary, n long, regs binary, items binary")
+    # a node's own document alone, so copies don't meet in one task
+    return found.join(need.hint("shuffle_merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("node", "n", "regs", "items")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: those that the sketches' estimate doesn't rule out, confirmed on the full sets. b may be hot; a isn't more often than a node's bands."""
+def linked(shelf: Shelf, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, as a table of the shelf: those that the sketches' estimate doesn't rule out, confirmed on the full sets. pairs: a table. b may be hot; a isn't more often than a node's bands."""
     near = 1.0 - percent / 100.0
     floor = percent / 100.0 - SIGMAS * float(np.sqrt(percent / 100.0 * near / M))
 
@@ -171,73 +172,91 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    pairs = cut(pairs)
-    n = pairs.count()
+    def brought(pairs: DataFrame, columns: dict[str, str]) -> DataFrame:
+        per = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        side = lambda s: sets.select(F.col("node").alias(s), *(F.col(c).alias(short + s) for c, short in columns.items()))
+        return salted(pairs.join(side("a").hint("shuffle_merge"), "a"), side("b"), "b", per, pairs.count(), "a")
+
     # sizes alone rule out pairs whose smaller set is too small
-    sketch = nodes.select("node", "n", "regs")
-    per = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    left = pairs.join(sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")).hint("shuffle_merge"), "a")
-    both = salted(left, sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b", per, n, "a")
-    maybe = cut(both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).mapInArrow(guess, "a long, b long"))
-    n = maybe.count()
-    per = maybe.groupBy("b").agg(F.count("*").alias("n"))
-    left = maybe.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")).hint("shuffle_merge"), "a")
-    both = salted(left, sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b", per, n, "a")
-    return cut(both.mapInArrow(confirm, "a long, b long"))
+    sized = brought(pairs, {"n": "n", "regs": "r"}).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    maybe = shelf.keep(sized.mapInArrow(guess, "a long, b long"))
+    found = shelf.keep(brought(maybe, {"items": "i"}).mapInArrow(confirm, "a long, b long"))
+    shelf.drop(maybe)
+    return found
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def undecided(shelf: Shelf, here: DataFrame, open_: DataFrame) -> DataFrame:
+    """The groups in which the rest is compared: open buckets, or all open buckets of one largest component as one group where that makes fewer comparisons, as when near copies meet in many bands. here: a row for each node of an open bucket."""
+    cost = open_.groupBy("main").agg(F.sum((F.col("n") - F.col("c")) * F.col("n")).alias("cost"))
+    family = shelf.keep(here.select("main", "node", "size", "component").distinct())
+    out = F.sum((F.col("component") != F.col("main")).cast("long"))
+    wide = shelf.keep(family.groupBy("main").agg(F.count("*").alias("f"), out.alias("o")).join(cost, "main").withColumn("n", F.col("f")).filter("f * o <= cost").select("main", "n"))
+    rows = lambda df, grp: df.select(grp.alias("grp"), "node", F.col("component").alias("part"), (F.col("component") != F.col("main")).alias("seeks"), "size")
+    one = lookup(family, wide, "main", family.count())
+    other = here.drop("n").join(wide.select(F.col("main").alias("_wide")), F.col("main") == F.col("_wide"), "left_anti")
+    return shelf.keep(rows(one, F.struct(F.lit(0).alias("kind"), F.col("main").alias("at"))).unionByName(rows(other, F.struct(F.lit(1).alias("kind"), F.col("key").alias("at")))).withColumn("grp", F.concat(F.col("grp.kind").cast("string"), F.lit(":"), F.col("grp.at").cast("string"))))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, keep...) -> doc_id, n_shingles, keep..., component_id, kept. Documents whose sets of k-word shingles have 100 * intersection >= percent * union are linked; component_id is the least doc_id reachable.
 
     Words: runs other than white space, A-Z in lower case. Fewer than k words: the whole sequence is the one shingle. Null, empty or blank text: an empty set, linked with nothing and kept. Equal sets are linked, so all but the least doc_id of a group of copies go. Repeated rows of one doc_id share its result. Null doc_id: the row takes part and belongs to a component, but is the least of none; kept where its component has no other id. Empty table: empty result. Other columns are ignored. Sets are compared by 64-bit hashes of their shingles."""
-    whole = cut(sketches(docs, k, keep))
-    nodes = cut(whole.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    cells = band_keys(nodes)
-    hubs = cut(cells.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    total = hubs.agg(F.sum("n")).first()[0] or 0
-    cells = cut(lookup(cells, hubs, "key", total))  # only buckets of two or more
-    crowd = cells.select("node").distinct()
-    need = nodes.join(crowd, "node", "left_semi").select("node", "digest", "doc_id")
-    sets = cut(full_sets(docs, need, k))
-
-    pairs = cells.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    asked, links = pairs, linked(pairs, nodes, sets, percent)
-    for turn in range(HUB_ROUNDS + 1):
-        comp = connected_components(links)
-        placed = cut(cells.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))))
-        per = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_ = cut(per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("n")).filter("parts > 1 AND n > 2").select("key", F.col("m.component").alias("main"), F.col("m.c").alias("c"), "n"))
-        left = open_.agg(F.sum((F.col("n") - F.col("c")) * F.col("n"))).first()[0] or 0
-        if not left:
-            break
-        last = turn == HUB_ROUNDS or left <= ENOUGH * max(total, 1000)
-        out = lookup(placed, open_, "key", total).filter("component <> main")
-        if last:
-            # what isn't in a bucket's largest component meets all of the bucket that it isn't joined to
-            # a pair that shares several buckets is told in the one of the least key only
-            rings = cut(placed.join(open_.select("key"), "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("ring")))
-            side = lambda df, s: df.select("key", "node", "component").join(rings, "node").select("key", F.col("node").alias(s), F.col("component").alias(f"c{s}"), F.col("ring").alias(f"r{s}"))
-            here = placed.join(open_.select("key"), "key", "left_semi")
-            new = side(out, "a").join(side(here, "b"), "key").filter("ca <> cb AND array_min(array_intersect(ra, rb)) = key").select("a", "b")
-        else:
-            # another node of the largest component takes the hub's part, and every node outside that component is compared with it
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
-            pick = placed.join(open_.select("key", F.col("main").alias("component"), "n"), ["key", "component"]).groupBy("key").agg(F.min(order).alias("p"), F.first("n").alias("n")).select("key", F.col("p.node").alias("hub"), "n")
-            new = lookup(out.select("key", "node"), pick, "key", total).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        new = cut(new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            asked = cut(asked.unionByName(new))
-            links = cut(links.unionByName(linked(new, nodes, sets, percent)))
-        release(docs.sparkSession)
-        if last:
-            comp = connected_components(links)
-            break
-    node_of = nodes.select("node", "digest", "doc_id", F.col("copies").alias("n")).join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-    least = node_of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
-    named = cut(lookup(node_of.withColumnRenamed("n", "copies"), least.withColumnRenamed("m", "n"), "component", max(1, nodes.count())).select("digest", "component_id", F.col("copies").alias("n")))
-    some = lookup(whole.filter("digest IS NOT NULL").select("doc_id", "n_shingles", "digest", *keep), named, "digest", whole.count()).select("doc_id", "n_shingles", *keep, "component_id")
-    none = whole.filter("digest IS NULL").select("doc_id", "n_shingles", *keep, F.col("doc_id").alias("component_id"))
-    return some.unionByName(none).withColumn("kept", F.expr("doc_id <=> component_id"))
+    with Shelf(docs.sparkSession, "near") as shelf:
+        made = shelf.keep(sketches(docs, k, keep))
+        whole = shelf.keep(made.drop("bands"))
+        alike = made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+        banded = shelf.keep(alike.withColumn("node", F.monotonically_increasing_id()))
+        shelf.drop(made)
+        nodes = shelf.keep(banded.drop("bands"))
+        cells = banded.select("node", "size", F.explode("bands").alias("key"))
+        hubs = shelf.keep(cells.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+        total = hubs.agg(F.sum("n")).first()[0] or 0
+        crowd = shelf.keep(lookup(wanted(cells, hubs.select("key"), "key"), hubs, "key", total).select("key", "node", "size", "hub"))  # only buckets of two or more
+        shelf.drop(banded, hubs)
+        first = shelf.keep(crowd.groupBy("node").agg(F.min("hub").alias("hub")))
+        sets = shelf.keep(full_sets(docs, nodes.join(first.select("node"), "node").select("node", _id(), "digest"), k))
+
+        asked = [shelf.keep(first.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))]
+        shelf.drop(first)
+        links = [linked(shelf, asked[0], sets, percent)]
+        before = None
+        while True:
+            comp = connected_components(union(links))
+            placed = shelf.keep(crowd.drop("hub").join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))))
+            per = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+            open_ = shelf.keep(per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("n")).filter("parts > 1").select("key", F.col("m.component").alias("main"), F.col("m.c").alias("c"), "n"))
+            left = open_.agg(F.sum((F.col("n") - F.col("c")) * F.col("n"))).first()[0] or 0
+            if not left:
+                break
+            last = left <= ENOUGH * max(total, 1000) or (before is not None and left > 0.9 * before)
+            before = left
+            here = shelf.keep(lookup(placed, open_, "key", total))
+            shelf.drop(placed)
+            if last:
+                links.append(shelf.keep(blocks.links(undecided(shelf, here, open_), sets, percent)))
+                comp = connected_components(union(links))
+                break
+            # the least of the largest component in an order of the round, the same in all buckets; what a node meets in most of its buckets with that component is likest to it
+            order = F.struct(F.xxhash64("node", F.lit(len(asked))).alias("h"), "node")
+            pick = here.filter("component = main").groupBy("key").agg(F.min(order).alias("p"), F.first("n").alias("n")).select("key", F.col("p.node").alias("b"), "n")
+            votes = lookup(here.filter("component <> main").select("key", "node", "main"), pick, "key", total).groupBy("node", "main", "b").agg(F.count("*").alias("votes"))
+            met = votes.groupBy("node", "main").agg(F.max(F.struct("votes", "b")).alias("v")).select(F.col("node").alias("a"), F.col("v.b").alias("b"))
+            tell = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            new = shelf.keep(tell(met).distinct().join(tell(union(asked)), ["a", "b"], "left_anti"))
+            shelf.drop(here, open_)
+            asked.append(new)
+            links.append(linked(shelf, new, sets, percent))
+        shelf.drop(sets, crowd, *asked)
+        node_of = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+        least = node_of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+        named = shelf.keep(lookup(node_of, least, "component", max(1, nodes.count())).select("digest", "component_id", F.col("copies").alias("n")))
+        some = lookup(whole.filter("digest IS NOT NULL"), named, "digest", whole.count()).select("doc_id", "n_shingles", *keep, "component_id")
+        none = whole.filter("digest IS NULL").select("doc_id", "n_shingles", *keep, F.col("doc_id").alias("component_id"))
+        return cut(some.unionByName(none).withColumn("kept", F.expr("doc_id <=> component_id")))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
