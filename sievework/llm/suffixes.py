@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep, known, release, slices, table, utf8, wanted
+from .common import Shelf, cut, known, slices, table, utf8, wanted
 
 MIN = 400
 Q = 32
@@ -134,20 +134,23 @@ def first_records(docs: DataFrame, least: int) -> DataFrame:
     return keyed(docs).select("id", "d", "text").mapInArrow(run, RECORD)
 
 
-def settle(records: DataFrame) -> DataFrame:
-    """Those records whose core something else has too, with `n`: null unless something else has their outer string. Keys are counted with partial sums, and hot ones are looked up without a shuffle."""
+def settle(shelf: Shelf, records: DataFrame) -> DataFrame:
+    """Those records whose core something else has too, with `n`: null unless something else has their outer string. Takes records' table over. Keys are counted with partial sums, and hot ones are looked up without a shuffle."""
     total = records.count()
-    cores = records.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1")
-    alive = keep(known(records, cores, "core", total).drop("n"), "alive")
-    outers = alive.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(known(alive, outers, "outer", total, "left"))
+    cores = shelf.keep(records.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"))
+    alive = shelf.keep(known(records, cores, "core", total).drop("n"))
+    shelf.drop(records, cores)
+    outers = shelf.keep(alive.groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = shelf.keep(known(alive, outers, "outer", total, "left"))
+    shelf.drop(alive, outers)
+    return found
 
 
-def unsettled(found: DataFrame) -> DataFrame:
+def unsettled(shelf: Shelf, found: DataFrame) -> DataFrame:
     """What the next round works on: the records still open, and of the settled ones a witness for each distinct outer string in an open record's bucket, for an open piece may equal a part of a settled one."""
     open_ = found.filter("n IS NULL").select(*NAMES[:7])
     settled = found.filter("n IS NOT NULL").groupBy("outer").agg(F.min(F.struct(*NAMES[:7])).alias("r")).select("r.*")
-    return cut(open_.unionByName(settled.join(open_.select("core").distinct(), "core", "left_semi")))
+    return shelf.keep(open_.unionByName(settled.join(open_.select("core").distinct(), "core", "left_semi")))
 
 
 def contexts(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
@@ -207,19 +210,23 @@ def refine(ctx: DataFrame, open_: DataFrame | None, size: int, least: int) -> Da
 
 def repeated(docs: DataFrame, least: int = MIN) -> DataFrame:
     """docs (doc_id, text) -> id, d, spans: for each text with repeated strings of `least` bytes or more the stretches (s, e) of bytes they cover, sorted, merged and disjoint. Equal rows share theirs."""
-    found = settle(keep(first_records(docs, least), "records"))
-    stretch = lambda df: df.filter("n IS NOT NULL").select("id", "d", (F.col("a") - F.col("y")).alias("s"), (F.col("a") - F.col("x") + least).alias("e"))
-    spans, open_, ctx = stretch(found), unsettled(found), None
-    size = least - Q + 1
-    while size > 1 and not open_.isEmpty():
-        size = -(-size // FAN)
-        if ctx is None:
-            ctx, open_ = keep(contexts(docs, open_, least), "contexts"), None
-        found = settle(keep(refine(ctx, open_, size, least), "pieces"))
-        spans = spans.unionByName(stretch(found))
-        open_ = unsettled(found)
-        release(docs.sparkSession)
-    return cut(merged(spans))
+    with Shelf(docs.sparkSession, "repeats") as shelf:
+        stretch = lambda df: shelf.keep(df.filter("n IS NOT NULL").select("id", "d", (F.col("a") - F.col("y")).alias("s"), (F.col("a") - F.col("x") + least).alias("e")))
+        found = settle(shelf, shelf.keep(first_records(docs, least)))
+        spans, open_, ctx = stretch(found), unsettled(shelf, found), None
+        shelf.drop(found)
+        size = least - Q + 1
+        while size > 1 and not open_.isEmpty():
+            size = -(-size // FAN)
+            first = ctx is None
+            if first:
+                ctx = shelf.keep(contexts(docs, open_, least))
+            found = settle(shelf, shelf.keep(refine(ctx, None if first else open_, size, least)))
+            shelf.drop(open_)
+            spans = spans.unionByName(stretch(found))
+            open_ = unsettled(shelf, found)
+            shelf.drop(found)
+        return cut(merged(spans))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -242,34 +249,33 @@ def merged(spans: DataFrame) -> DataFrame:
     return spans.groupBy("id", "d").agg(F.collect_set(F.struct("s", "e")).alias("parts")).mapInArrow(run, "id long, d long, spans array<struct<s:bigint,e:bigint>>")
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def removal(docs: DataFrame, least: int = MIN) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is left of each text without every byte that a string of `least` bytes covers which starts anywhere else too, in the same document or another. All strings are judged on the input.
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text: what is left of each text without every byte that a string of `least` bytes covers which starts anywhere else too, in the same document or another. All strings are judged on the input.
 
-    Null or empty text, and texts under `least` bytes: nothing is removed. Rows with equal texts of `least` bytes or more, repeated rows too: all is removed. Null doc_id: treated as any other. Empty table: empty result. Other columns are ignored. Only texts with something to remove are shuffled."""
+    Null or empty text, and texts under `least` bytes: nothing is removed. Rows with equal texts of `least` bytes or more, repeated rows too: all is removed. The returned text is the remaining bytes, a character of which only a part is left as U+FFFD; n_bytes is the input's. Null doc_id: treated as any other. Empty table: empty result. Other columns are ignored. Only texts with something to remove are shuffled."""
     spans = repeated(docs, least)
     rows = keyed(docs)
     body = utf8(F.col("text"))
-    clean = rows.select("doc_id", "id", "d", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("kept_sha256")).join(spans.select("id", "d").hint("shuffle_merge"), ["id", "d"], "left_anti")
+    clean = rows.select("doc_id", "id", "d", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("kept_sha256"), F.coalesce("text", F.lit("")).alias("text")).join(spans.select("id", "d").hint("shuffle_merge"), ["id", "d"], "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, parts in zip(batch.column("doc_id"), batch.column("text"), batch.column("spans"), strict=True):
-                t, sha, at, gone = (text.as_py() or "").encode("utf-8", "replace"), hashlib.sha256(), 0, 0
+                t, left, at = (text.as_py() or "").encode("utf-8", "replace"), [], 0
                 for p in (parts := parts.as_py()):
-                    sha.update(t[at : p["s"]])
+                    left.append(t[at : p["s"]])
                     at = p["e"]
-                    gone += p["e"] - p["s"]
-                sha.update(t[at:])
-                rows.append((doc.as_py(), len(t), gone, len(parts), sha.hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                left = b"".join([*left, t[at:]])
+                rows.append((doc.as_py(), len(t), len(t) - len(left), len(parts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     cut_ = wanted(rows, spans.select("id"), "id").join(spans.hint("shuffle_merge"), ["id", "d"]).select("doc_id", "text", "spans").mapInArrow(run, REMOVED)
-    return clean.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256").unionByName(cut_)
+    return clean.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", "text").unionByName(cut_)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
