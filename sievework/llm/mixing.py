@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sievework.functions.hot import line
+
 from .common import cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 TILT = 0.25
 """0: one rate for a whole source. 1: a document's strain doesn't depend on its size, so that long documents take most of the change."""
-STEPS = 40
+STEPS = 400
+"""Newton steps, halvings of the bracket among them, after which something is wrong: a halving adds a bit, so far fewer are enough."""
 CLOSE = 1e-9
 """Newton stops when every source's words are this near to its target, relative to it."""
-SALT = 16
-"""Documents of one source and size, such as the copies of one text, are counted and ranked in so many parts."""
 
 
 def n_words(text: Column) -> Column:
@@ -85,19 +86,24 @@ def rates(counts: DataFrame, goal: DataFrame, cap: int = CAP, tilt: float = TILT
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
             break
+    else:
+        raise ArithmeticError("a source's rate did not settle")
     return state.select("source", "mean", "lam")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, tilt: float = TILT) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, rate, copies, taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, tilt: float = TILT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, source, keep...) -> doc_id, keep..., size, source_size, target, rate, copies, taken.
 
     Null text or one without words: size 0, no copies. Null source: a source of its own, last. A source without words: target 0. Repeated rows: each counts and gets its own copies. Empty table: empty result. Where copies of documents are of one size, doc_id decides which takes the odd copy; reruns agree. Other columns are ignored."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALT))
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("n")).withColumn("b", part))
-    cells = cut(sized.groupBy("source", "n", "b").agg(F.count("*").alias("c")))
-    counts = cells.groupBy("source", "n").agg(F.sum("c").alias("c"))
+    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("n"), *(F.col(c).alias(f"_{c}") for c in keep)))
+    counts = cut(rows.groupBy("source", "n").agg(F.count("*").alias("c")))
+    # documents of one source and size, such as the copies of one text, are ranked in parts where they are over a thousandth of all; so such sizes are under a thousand
+    most = line(counts.agg(F.sum("c")).first()[0] or 0)
+    hot = F.broadcast(counts.filter(F.col("c") > most).select("source", "n", F.ceil(F.col("c") / most).cast("int").alias("p")))
+    sized = rows.alias("r").join(hot.alias("h"), F.expr("r.source <=> h.source AND r.n = h.n"), "left").select("r.*", F.pmod(F.xxhash64("doc_id"), F.coalesce("p", F.lit(1))).cast("int").alias("b"))
+    cells = sized.groupBy("source", "n", "b").agg(F.count("*").alias("c"))
     goal = cut(targets(counts.select("source", (F.col("n") * F.col("c")).alias("n")), weights, cap))
-    lam = rates(cut(counts), goal, cap, tilt)
+    lam = rates(counts, goal, cap, tilt)
     goal = cut(goal.alias("g").join(lam.alias("l"), F.expr("g.source <=> l.source"), "left").select("g.source", "source_size", "target", "mean", "lam"))
     u = F.col("lam") * F.pow(F.col("n") / F.col("mean"), F.lit(tilt))
     rate = F.when(F.col("n") == 0, 0.0).when(F.col("lam").isNull(), F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)).when(u < F.log(F.lit(float(cap))), F.exp(u)).otherwise(F.lit(float(cap)))
@@ -107,13 +113,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, t
         cells.alias("c").join(goal.alias("g"), F.expr("c.source <=> g.source")).select("c.source", "n", "b", "c", "source_size", "target", rate.alias("rate"))
         .withColumn("start", F.coalesce(F.sum(F.col("c") * F.col("rate")).over(before), F.lit(0.0)))
     )
-    cell = Window.partitionBy("source", "n", "b").orderBy("doc_id")
+    cell = Window.partitionBy("source", "n", "b").orderBy("doc_id", *(f"_{c}" for c in keep))
     up = lambda i: F.floor(F.col("start") + i * F.col("rate") + F.lit(0.5 - 1e-9))
     return (
         sized.withColumn("i", F.row_number().over(cell)).alias("d")
         .join(cells.alias("k"), F.expr("d.source <=> k.source AND d.n = k.n AND d.b = k.b"))
         .withColumn("copies", F.least(F.lit(cap), F.greatest(F.lit(0), up(F.col("i")) - up(F.col("i") - 1))).cast("long"))
-        .select("d.doc_id", F.col("d.n").alias("size"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("d.n")).alias("taken"))
+        .select("d.doc_id", *(F.col(f"d._{c}").alias(c) for c in keep), F.col("d.n").alias("size"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("d.n")).alias("taken"))
     )
 
 
