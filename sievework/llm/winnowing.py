@@ -1,6 +1,6 @@
 """Operator 8: document fingerprints by winnowing, in DataFrame operations only.
 
-The k-grams are of K words; each is hashed, and of every window of WINDOW consecutive k-grams the least hash is selected, the rightmost of equals. A selection is one long: the hash's upper 40 bits, then 24 bits that fall as the position grows, so that the least long is the least hash, rightmost.
+The k-grams are of K words; each word is hashed once, each k-gram's hash is made of its words' hashes, and of every window of WINDOW consecutive k-grams the least hash is selected, the rightmost of equals. A selection is one long: a hash of 34 bits, then 30 bits that fall as the position grows, so that the least long is the least hash, rightmost. No string of Spark's has 2 ** 30 words.
 
 A fingerprint is the distinct selections, each a hash with its position. A word of over LONG characters counts as so many words of one character, so text without blanks is fingerprinted too: two texts that share WINDOW + K - 1 such consecutive words share a selection at known places. A text of up to SHORT characters is fingerprinted by its characters besides, and two such texts are compared by those. Both sizes are chosen so that a text with its last third replaced shares a selection with itself: over SHORT characters the rest holds WINDOW + K - 1 whole words, runs of blanks counted as one; up to that its k-grams fill a window.
 """
@@ -22,7 +22,8 @@ CHARS, CHAR_WINDOW = 8, 16
 TINY = 24
 """Up to so many characters, all grams of TINY_CHARS characters are selected."""
 TINY_CHARS = (2, 4, 8)
-PLACES = (1 << 24) - 1
+BITS = 30
+PLACES = (1 << BITS) - 1
 NO_ID = -(2**63) + 1
 """Stands for a null doc_id in keys."""
 
@@ -39,8 +40,10 @@ def words(text: Column) -> Column:
 
 def grams(units: Column, k: int | Column) -> Column:
     """The packed hashes of the k-grams of an array; fewer than k: one of them all."""
-    packed = lambda i: F.xxhash64(F.slice(units, i + 1, k)).bitwiseAND(F.lit(~PLACES)).bitwiseOR((F.lit(PLACES) - i.bitwiseAND(F.lit(PLACES))).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(units) - k)), packed)
+    own = F.transform(units, lambda w: F.xxhash64(w))
+    of = lambda h, i: F.xxhash64(*(F.get(h, i + j) for j in range(k))) if isinstance(k, int) else F.xxhash64(F.slice(h, i + 1, k))
+    packed = lambda h, i: of(h, i).bitwiseAND(F.lit(~PLACES)).bitwiseOR((F.lit(PLACES) - i).cast("long"))
+    return let(own, lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(units) - k)), lambda i: packed(h, i)))
 
 
 def winnow(units: Column, k: int, window: int | Column) -> Column:
@@ -54,7 +57,7 @@ def none() -> Column:
 
 
 def selections(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The selections by words as an array of longs in order of position. Fewer than k words: one k-gram of them all; no word: empty. Fewer k-grams than a window: one window of them all. Positions count modulo 2 ** 24."""
+    """The selections by words as an array of longs in order of position. Fewer than k words: one k-gram of them all; no word: empty. Fewer k-grams than a window: one window of them all."""
     return let(words(text), lambda w: F.when(F.size(w) == 0, none()).otherwise(winnow(w, k, window)))
 
 
@@ -86,7 +89,7 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
 
 def hashes(selected: Column) -> Column:
-    return F.array_distinct(F.transform(selected, lambda v: F.shiftright(v, 24)))
+    return F.array_distinct(F.transform(selected, lambda v: F.shiftright(v, BITS)))
 
 
 def positions(selected: Column) -> Column:
@@ -134,29 +137,24 @@ def chain(docs: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(ends), "rng").select("id", "d", "n", F.coalesce("nxt", "after").alias("nxt"), F.coalesce("prev", "before").alias("prev"))
 
 
-def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, selected (words, chars): the operator itself; narrow."""
-    return docs.select("doc_id", fingerprint(F.col("text"), k, window).alias("selected"))
-
-
 def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each document's fingerprint, that of its text with the last third replaced from the next document, and how alike they are.
 
-    Null text counts as empty. Rows equal in doc_id and text are judged as one and returned as often as they come; the next document is the next row that differs. Null doc_id: after all others. A table of one document: it is its own next. Empty table: empty result. Other columns are ignored. A text is shuffled once with its id; what the document before it needs of it, a prefix and the fingerprint, once more."""
+    Null text counts as empty. Rows equal in doc_id and text are judged as one and returned as often as they come; the next document is the next row that differs. Null doc_id: after all others. A table of one document: it is its own next. Empty table: empty result. Other columns are ignored. A text is fingerprinted where it is read and shuffled once with its id and fingerprint; what the document before it needs of it, a prefix and the fingerprint, once more."""
     # both sides take the same columns of the one shuffle of the texts; doc_id follows from id
-    own = docs.select(*key(), F.coalesce("text", F.lit("")).alias("text"))
-    linked = own.join(cut(chain(docs)).hint("shuffle_merge"), ["id", "d"]).select("id", "d", "text", "n", "prev")
+    own = docs.select(*key(), F.coalesce("text", F.lit("")).alias("text"), fingerprint(F.col("text"), k, window).alias("f"))
+    linked = own.join(cut(chain(docs)).hint("shuffle_merge"), ["id", "d"]).select("id", "d", "text", "f", "n", "prev")
     one = Window.partitionBy("id", "d").orderBy("d")
     sent = (
         linked.withColumn("i", F.row_number().over(one)).filter("i = 1")
-        .select(F.col("prev.id").alias("id"), F.col("prev.d").alias("d"), F.expr("substring(text, 1, prev.n div 3)").alias("prefix"), fingerprint(F.col("text"), k, window).alias("next_selected"))
+        .select(F.col("prev.id").alias("id"), F.col("prev.d").alias("d"), F.expr("substring(text, 1, prev.n div 3)").alias("prefix"), F.col("f").alias("next_selected"))
     )
     both = linked.drop("prev").join(sent.hint("shuffle_merge"), ["id", "d"])
     third = F.expr("n div 3").cast("int")
     result = let(
         F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring("prefix", F.lit(1), third)),
         lambda e: let(
-            F.struct(e.alias("e"), fingerprint(F.col("text"), k, window).alias("f"), fingerprint(e, k, window).alias("g")),
+            F.struct(e.alias("e"), F.col("f"), fingerprint(e, k, window).alias("g")),
             lambda s: F.struct(
                 F.sha2(s["e"].cast("binary"), 256).alias("edited_sha256"), digest(s["f"]).alias("fingerprint"), digest(s["g"]).alias("edited_fingerprint"),
                 likeness(s["f"], s["g"]).alias("near_edited"), likeness(s["f"], F.col("next_selected")).alias("near_next"), F.size(whole(s["f"])).alias("n_selected"),
