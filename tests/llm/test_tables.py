@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -220,7 +221,12 @@ def test_winnowing(spark, docs, none):
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     k, window = winnowing.K, winnowing.WINDOW
-    rows = docs.select("text", winnowing.selections(F.col("text")).alias("f"), winnowing.words(F.col("text")).alias("w")).withColumn("h", F.expr(f"transform(sequence(0, greatest(0, size(w) - {k})), i -> shiftright(xxhash64(slice(w, i + 1, {k})), 24))")).collect()
+    rows = docs.select("text", winnowing.selections(F.col("text")).alias("f"), winnowing.words(F.col("text")).alias("w")).withColumn("h", F.transform(winnowing.grams(F.col("w"), k), lambda v: F.shiftright(v, winnowing.BITS))).collect()
+    of: dict = {}
+    for r in rows:
+        for i in range(len(r.w) - k + 1):
+            assert of.setdefault(tuple(r.w[i : i + k]), r.h[i]) == r.h[i]
+    assert len(of) > 1000 and len(set(of.values())) == len(of)
     for r in rows:
         assert r.w == WORD.findall((r.text or "").translate(LOW))
         picks = []
@@ -229,7 +235,7 @@ def test_winnowing(spark, docs, none):
             at = i + max(j for j, v in enumerate(part) if v == min(part))
             if (r.h[at], at) not in picks:
                 picks.append((r.h[at], at))
-        assert picks == [(v >> 24, winnowing.PLACES - (v & winnowing.PLACES)) for v in r.f]
+        assert picks == [(v >> winnowing.BITS, winnowing.PLACES - (v & winnowing.PLACES)) for v in r.f]
 
 
 def test_winnowing_of_what_is_kept(spark):
@@ -277,7 +283,88 @@ def test_many_languages(spark):
     own = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(5)] for i in range(n)}
     texts = [(lang, " ".join(r.choice(words) for _ in range(60))) for lang, words in own.items() for _ in range(3)]
     drawn = language.sample(spark.createDataFrame(texts, "lang string, text string"))
-    assert drawn == sorted(texts)
+    assert sorted(map(tuple, drawn.collect())) == sorted(texts)
     judge = language.Judge(language.fit(drawn))
     assert [lang for lang, words in own.items() if judge.judge(" ".join(words))[0] != lang] == []
     assert language.share(300, 4) == 300 and language.share(300, 200) == 300 and language.share(300, 400) == 150 and language.share(300, 10**6) == 1
+
+
+def brute_model(texts, words_kept, grams_kept):
+    """Log frequencies counted text by text, whole."""
+    languages = sorted({lang for lang, _ in texts})
+    words = {lang: Counter() for lang in languages}
+    for lang, t in texts:
+        words[lang].update(re.findall(r"[a-z\u00e9\u6f22]+", t.lower()))
+    grams = {lang: [Counter() for _ in range(language.N)] for lang in languages}
+    for lang, c in words.items():
+        for w, n in c.items():
+            for k in range(1, language.N + 1):
+                for i in range(len(w) - k + 1):
+                    grams[lang][k - 1][w[i : i + k]] += n
+
+    def top(c, most):
+        order = sorted(c.values(), reverse=True)
+        line = min((n for n in set(order) if sum(x >= n for x in order) <= most), default=max(order, default=0))
+        return {x for x, n in c.items() if n >= line}
+
+    known = {w for c in words.values() for w in top(c, words_kept) if c[w] >= language.SEEN}
+    parts = {g for by in grams.values() for c in by for g in top(c, grams_kept) if c[g] >= language.SEEN or len(g) == 1}
+
+    def row(c, whole, size):
+        import math
+
+        return [math.log((c[lang] + 0.5) / (whole[lang] + 0.5 * (size + 1))) for lang in languages]
+
+    total = {lang: sum(c.values()) for lang, c in words.items()}
+    w = {x: row({lang: words[lang][x] for lang in languages}, total, len(known)) for x in known}
+    g = {x: row({lang: grams[lang][len(x) - 1][x] for lang in languages}, {lang: sum(grams[lang][len(x) - 1].values()) for lang in languages}, len(parts)) for x in parts}
+    return languages, w, g
+
+
+def brute_judge(found, text):
+    import math
+
+    languages, w, g = found
+    words = re.findall(r"[a-z\u00e9\u6f22]+", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(languages)
+    for x in words:
+        row = w.get(x)
+        if row is None:
+            row = [0.0] * len(languages)
+            for k in range(min(language.N, len(x)), 0, -1):
+                own = [g[x[i : i + k]] for i in range(len(x) - k + 1) if x[i : i + k] in g]
+                if own:
+                    row = [sum(c) / len(own) for c in zip(*own, strict=True)]
+                    break
+        total = [a + b for a, b in zip(total, row, strict=True)]
+    best = max(range(len(languages)), key=lambda i: (total[i], -i))
+    p = [math.exp((t - max(total)) / math.sqrt(len(words))) for t in total]
+    return languages[best], p[best] / sum(p)
+
+
+@pytest.mark.parametrize("kept", [10**6, 25])
+def test_language_against_brute_force(docs, kept, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", kept)
+    monkeypatch.setattr(language, "GRAMS", kept)
+    free = [(i, t, lang) for i, t, lang, *_ in ROWS if zlib.crc32(("" if i is None else str(i)).encode()) % 3 != 1]
+    texts = sorted({(lang, t) for _, t, lang in free if lang and t and re.search(r"[^\W\d_]", t)})
+    found = brute_model(texts, kept, kept)
+    m = language.fit(language.sample(language.training(docs)))
+    assert m.languages == found[0] and set(m.words) == set(found[1]) and set(m.grams) == set(found[2])
+    for held, rows, want in ((m.words, m.rows, found[1]), (m.grams, m.gram_rows, found[2])):
+        assert all(abs(a - b) < 1e-9 for x, i in held.items() for a, b in zip(rows[i], want[x], strict=True))
+    judge = language.Judge(m)
+    for _, t, *_ in ROWS:
+        lang, score = judge.judge(t)
+        want = brute_judge(found, t)
+        assert abs(score - want[1]) < 1e-9 and (lang == want[0] or abs(score - 0.5) < 1e-9)
+
+
+def test_sample_is_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 20)
+    texts = [("a", f"text number {i} " + "z" * 9000) for i in range(400)] + [("b", "only one text")] * 50 + [("c", "1 2 3"), ("c", None), (None, "none")]
+    got = [tuple(r) for r in language.sample(spark.createDataFrame(texts, "lang string, text string")).collect()]
+    assert 5 <= sum(x[0] == "a" for x in got) <= 45 and set(got) <= set(texts)
+    assert [x for x in got if x[0] != "a"] == [("b", "only one text")]

@@ -120,16 +120,39 @@ def test_warc_record():
     assert b"Content-Length: 0" in warc.record(7, None, b"z", 9)
 
 
+def small_model(texts):
+    words = language.words_of(texts)
+    grams = language.grams_of((lang, w, n) for (lang, w), n in words.items())
+    counts = [(lang, 0, w, n) for (lang, w), n in words.items() if n >= language.SEEN] + [(lang, k, g, n) for (lang, k, g), n in grams.items()]
+    totals = {}
+    for lang, k, n in [(lang, 0, n) for (lang, _), n in words.items()] + [(lang, k, n) for (lang, k, _), n in grams.items()]:
+        totals[lang, k] = (totals.get((lang, k), (0, 0))[0] + n, 0)
+    return language.model(sorted({lang for lang, _ in texts}), totals, counts)
+
+
 def test_language():
-    model = language.fit([("en", "the cat and the dog and the bird " * 5), ("de", "der hund und die katze und der vogel " * 5)])
-    j = language.Judge(model)
+    j = language.Judge(small_model([("en", "the cat and the dog and the bird " * 5), ("de", "der hund und die katze und der vogel " * 5)]))
     assert j.judge("The dog and a bird")[0] == "en" and j.judge("Der Vogel und die Hunde")[0] == "de"
     assert j.judge("vogels")[0] == "de"  # unseen as a word
-    for t in (None, "", " 12 !"):
+    for t in (None, "", " 12 !", "\u00b2 \u00bd", "\u2167"):
         assert j.judge(t) == ("und", 0.0)
     long = "the dog " * 40_000
     assert j.judge(long)[0] == "en" and 0 < j.judge(long)[1] <= 1
-    assert language.Judge(language.fit([])).judge("x") == ("und", 0.0)
+    assert language.Judge(language.model([], {}, [])).judge("x") == ("und", 0.0)
+
+
+def test_one_run_of_letters_is_one_word():
+    text = "a" * 300_000 + " b " + "c" * 70_000 + "1"
+    assert language.words_of([("x", text)]) == {("x", "a" * 300_000): 1, ("x", "b"): 1, ("x", "c" * 70_000): 1}
+
+
+def test_what_is_learned_of_unseen_words_is_forgotten(monkeypatch):
+    monkeypatch.setattr(language, "REMEMBERED", 5)
+    texts = [("en", "the cat and the dog " * 5), ("de", "der hund und die katze " * 5)]
+    one = language.Judge(small_model(texts))
+    for i in range(30):
+        t = f"cats dogs hunde katzen word{'abcdefghij'[i % 10]} {'xyz'[i % 3] * (i + 1)}"
+        assert one.judge(t) == language.Judge(small_model(texts)).judge(t)
 
 
 @pytest.fixture(scope="module")
