@@ -23,7 +23,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(language.sample(language.training(docs)))
     told = F.col("lang_pred") if model.languages else F.lit(None).cast("string")
     # a model of one language without words judges every text with letters to be in it
-    judged = language.identify(docs.select(*COLUMNS), model if model.languages else language.fit([("any", "")]), COLUMNS)
+    judged = language.identify(docs.select(*COLUMNS), model if model.languages else language.model(["any"], {}, []), COLUMNS)
     return judged.filter(F.col("lang_pred") != language.UNDETERMINED).select("doc_id", "text", F.coalesce("lang", told).alias("lang"), "source", "n_chars")
 
 
@@ -64,15 +64,17 @@ def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights: a document comes as often as the mix takes it, and not at all where it takes none."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "size", "copies").distinct()
-    rows = docs.select(*COLUMNS).withColumn("size", mixing.n_words(F.col("text")))
-    taken = rows.alias("r").join(copies.alias("c"), F.expr("r.doc_id <=> c.doc_id AND r.size = c.size"))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("r.doc_id", "text", "lang", "source", "n_chars")
+    """Sources are brought to their target weights: a document comes as often as the mix takes it, and not at all where it takes none. Null or empty texts have no words and aren't taken; a null doc_id or source counts as any other; equal rows are taken as often as the mix takes them together. Empty table: empty result."""
+    # a row is known by all its columns, so rows that share a doc_id or a text keep their own numbers of copies, and equal rows have one in common
+    whole = F.xxhash64(*(x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())))
+    rows = docs.select(*COLUMNS).withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63) + 1)), "d": whole})
+    copies = mixing.mix(rows, keep=("id", "d")).groupBy("id", "d").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = rows.join(copies.hint("shuffle_merge"), ["id", "d"]).dropDuplicates(["id", "d"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, whole."""
+    """Token ids of every text, whole, as operator 9 returns them: null and empty texts have none; null and repeated doc_ids keep a row each. Empty table: empty result."""
     return sentencepiece_scan.encode(docs)
 
 
