@@ -1,8 +1,11 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.llm.test_tables import ROWS, SCHEMA
 
-from sievework.llm import sentencepiece_scan
+from sievework.llm import mixing, sentencepiece_scan
 
 
 def test_stages(spark):
@@ -45,3 +48,17 @@ def test_near_duplicates_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r.doc_id, r.text) for r in corpus_pipeline.stage_near_duplicates(spark, docs, "").collect()}
     assert got == {rows[0], rows[3], rows[4], rows[5]}
+
+
+def test_mixing_takes_each_row_as_often_as_asked(spark):
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    rows = [(i % 40, text(10 + i % 3), "en", f"s{i % 3}") for i in range(100)] + [(None, text(12), "en", "s1") for _ in range(60)] + [(7, "same row again", "en", "s2")] * 5 + [(8, None, None, None), (9, "", "en", "s0")]
+    docs = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for x in mixing.mix(docs, keep=("source",)).collect():
+        want[x.doc_id, x.size, x.source] += x.copies
+    made = corpus_pipeline.stage_mixing(spark, docs, "").collect()
+    # of rows alike in doc_id, size and source any may take the odd copy
+    assert Counter((x.doc_id, len(x.text.split(" ")), x.source) for x in made) == +want and len(made) > 100
+    assert {(x.doc_id, x.text, x.source) for x in made} <= {(i, t, s) for i, t, _, s in rows}
