@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shelf, lookup
+
 ROWS = 2048
 ITEMS = 1 << 20
 """A block has about so many rows and elements at most; a single set may be larger."""
@@ -78,16 +80,16 @@ def compare(nodes: list[int], parts: list[int], seek: np.ndarray, sets: list[np.
     return [(a, b) for (a, _), b in found.items()]
 
 
-def links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rows (grp, node, part, seeks, size), sets (node, items) -> (a, b) with similar sets: every a that seeks, for each other part of its group in which a similar set is, one b of it.
+def links(shelf: Shelf, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows, a table of the shelf (grp, node, part, seeks, size), sets (node, items) -> (a, b) with similar sets: every a that seeks, for each other part of its group in which a similar set is, one b of it.
 
     A group's blocks: seekers in x parts by all rows in y parts, by their numbers and sizes; each seeker goes to y blocks and each row to x."""
     cells = lambda n, size: F.greatest(F.ceil(n / ROWS), F.ceil(size / ITEMS), F.lit(1)).cast("int")
     seeking = F.when(F.col("seeks"), F.col("size")).otherwise(0)
     groups = rows.groupBy("grp").agg(F.count("*").alias("n"), cells(F.sum(F.col("seeks").cast("int")), F.sum(seeking)).alias("x"), cells(F.count("*"), F.sum("size")).alias("y"))
     # groups of one block, which may be many, need no table of their own
-    large = groups.filter("x > 1 OR y > 1").select("grp", "x", "y")
-    dealt = rows.join(large.hint("shuffle_merge"), "grp", "left").withColumns({"x": F.coalesce("x", F.lit(1)), "y": F.coalesce("y", F.lit(1))})
+    large = shelf.keep(groups.filter("x > 1 OR y > 1"))
+    dealt = lookup(rows, large, "grp", rows.count(), "left").withColumns({"x": F.coalesce("x", F.lit(1)), "y": F.coalesce("y", F.lit(1))})
     h = F.xxhash64("node", F.lit(3))
     one = dealt.filter("seeks").select("grp", "node", "part", F.lit(True).alias("seeks"), F.pmod(h, "x").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j"))
     other = dealt.select("grp", "node", "part", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i"), F.pmod(h, "y").cast("int").alias("j"))

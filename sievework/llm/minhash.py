@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keep: tuple[
             here = shelf.keep(lookup(placed, open_, "key", total))
             shelf.drop(placed)
             if last:
-                links.append(shelf.keep(blocks.links(undecided(shelf, here, open_), sets, percent)))
+                links.append(shelf.keep(blocks.links(shelf, undecided(shelf, here, open_), sets, percent)))
                 comp = connected_components(union(links))
                 break
             # the least of the largest component in an order of the round, the same in all buckets; what a node meets in most of its buckets with that component is likest to it
