@@ -20,15 +20,20 @@ from pyspark.sql import Window
 from .common import Shelf, table, tasks
 
 
-def _numerals() -> str:
-    """Characters such as ½ and ² that count as word characters to the pattern language but are neither letters nor decimal digits."""
-    # the planes above hold ideographs alone
-    odd = [c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return "".join(odd)
+# characters such as ½ and ² that count as word characters to the pattern language but are neither letters nor decimal digits; the planes above hold ideographs alone
+NUMERALS = {ord(c): " " for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+_NUMERAL = frozenset(map(chr, NUMERALS))
+WORD = re.compile(r"[^\W\d_]+")
+"""A run of letters in a text without NUMERALS."""
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    if not text.isascii() and not _NUMERAL.isdisjoint(text):
+        text = text.translate(NUMERALS)
+    return WORD.findall(text.lower())
 
 
-WORD = re.compile(f"[^\\W\\d_{_numerals()}]+")
-"""A run of letters."""
 N = 5
 PER_LANGUAGE = 300
 """Labelled texts that a language's model is fitted on, about; all of them where there are no more."""
@@ -96,7 +101,7 @@ def words_of(texts: Iterable[tuple[str, str]]) -> Counter:
     found: Counter = Counter()
     for lang, text in texts:
         for part in pieces(text):
-            for w, n in Counter(WORD.findall(part.lower())).items():
+            for w, n in Counter(letters(part)).items():
                 found[lang, w] += n
     return found
 
@@ -184,23 +189,28 @@ class Judge:
         self.rows = self.m.rows
         self.used = len(self.rows)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean row of the word's known n-grams of the greatest length of which any is known; zeros where no letter is."""
+    def parts(self, word: str) -> list[int]:
+        """The word's known n-grams of the greatest length of which any is known; none where no letter is."""
+        grams = self.m.grams
         for k in range(min(N, len(word)), 0, -1):
-            at = [i for j in range(len(word) - k + 1) if (i := self.m.grams.get(word[j : j + k])) is not None]
+            at = [grams[g] for i in range(len(word) - k + 1) if (g := word[i : i + k]) in grams]
             if at:
-                return self.m.gram_rows[at].mean(axis=0)
-        return np.zeros(len(self.m.languages))
+                return at
+        return []
 
-    def learn(self, words: set[str]) -> None:
-        """Give unseen words rows beside the known ones."""
+    def learn(self, words: list[str]) -> None:
+        """Give unseen words rows beside the known ones: the mean rows of their parts, zeros where they have none."""
         if self.used + len(words) > len(self.rows):
             more = np.zeros((max(1024, len(words), self.used // 2), len(self.m.languages)))
             self.rows = np.concatenate([self.rows[: self.used], more])
-        for w in words:
-            self.rows[self.used] = self.unseen(w)
-            self.at[w] = self.used
-            self.used += 1
+        parts = [self.parts(w) for w in words]
+        some = [i for i, at in enumerate(parts) if at]
+        if some:
+            n = np.array([len(parts[i]) for i in some])
+            flat = self.m.gram_rows[[x for i in some for x in parts[i]]]
+            self.rows[self.used + np.array(some)] = np.add.reduceat(flat, np.cumsum(n) - n) / n[:, None]
+        self.at.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """The language of the whole text and the model's share of belief in it."""
@@ -208,14 +218,14 @@ class Judge:
             return UNDETERMINED, 0.0
         total, n = np.zeros(len(self.m.languages)), 0
         for part in pieces(text):
-            words = WORD.findall(part.lower())
+            words = letters(part)
             if not words:
                 continue
             if self.used > len(self.m.words) + REMEMBERED:
                 self.forget()
             ids = list(map(self.at.get, words))
             if None in ids:
-                self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
+                self.learn(sorted({w for w, i in zip(words, ids, strict=True) if i is None}))
                 ids = list(map(self.at.get, words))
             n += len(ids)
             total += self.rows[ids].sum(axis=0)
