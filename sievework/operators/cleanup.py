@@ -54,6 +54,12 @@ def plan(members: DataFrame, selected: DataFrame, roots: DataFrame, review: str
     return marked.join(some, "group_id", "left_semi").withColumn("action", F.when(F.col("removes"), "remove").otherwise("keep"))
 
 
+def plan_totals(planned: DataFrame) -> DataFrame:
+    """One row: files that go and their bytes."""
+    goes = F.col("action") == "remove"
+    return planned.agg(F.count_if(goes).alias("files"), F.coalesce(F.sum(F.when(goes, F.col("size_bytes"))), F.lit(0)).alias("bytes"))
+
+
 def unchanged(rows: DataFrame, listing: DataFrame) -> DataFrame:
     """rows with check: Unchanged, ChangedSinceScan or NotFound against a fresh listing."""
     now = listing.select(F.upper("path").alias("_u"), F.col("size_bytes").alias("_size"), F.col("last_write").alias("_time"))

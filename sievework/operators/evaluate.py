@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.schema import OK, ONLINE_ONLY
+
 # The buckets pairs are labelled in, and the normal quantile of a 95 % interval.
 BUCKETS = (("0–2", 0, 2), ("3–4", 3, 4), ("5–6", 5, 6), ("7–8", 7, 8))
 Z = 1.959964
+STILL = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 GRID = (2, 14)
 TOP = 100
 
@@ -113,3 +116,21 @@ def rule_effect(labels: DataFrame, times: DataFrame, buckets: DataFrame) -> Data
     rows = rows.withColumn("kept_population", F.when(F.col("sampled") == 0, F.col("population")).otherwise(F.round(F.col("population") * (F.col("sampled") - F.col("removed")) / F.col("sampled")).cast("long")))
     cols = ("population", "sampled", "removed", "removed_same", "removed_different", "kept_population")
     return rows.select("bucket", *cols).unionByName(rows.agg(*[F.sum(c).alias(c) for c in cols]).withColumn("bucket", F.lit("")))
+
+
+def originals(files: DataFrame, seed: int) -> DataFrame:
+    """The files a synthetic run may draw: still formats whose bytes are here, with draw, the digest that orders them for this seed. The order depends on seed and paths alone."""
+    still = F.lower("path").rlike(f"[.]({'|'.join(STILL)})$")
+    return files.filter(still & (F.col("status") != ONLINE_ONLY)).withColumn("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), "path")))
+
+
+def drawn(files: DataFrame, seed: int, n: int) -> DataFrame:
+    """The first n originals in draw order that could be decoded, with nth from 1: what drawing one by one until n are decoded would give. Each partition gives n rows at most to the sort."""
+    first = originals(files, seed).filter(F.col("status") == OK).orderBy("draw", "path").limit(n)
+    return first.withColumn("nth", F.row_number().over(Window.orderBy("draw", "path")))
+
+
+def times_read(labels: DataFrame, files: DataFrame) -> DataFrame:
+    """The labelled paths (keeper, member), each once, with date_taken; readable is false where the catalog has none or could not decode it."""
+    paths = labels.select(F.col("keeper").alias("path")).unionByName(labels.select(F.col("member").alias("path"))).distinct()
+    return paths.join(files.select("path", "date_taken", F.col("status").alias("_s")), "path", "left").select("path", "date_taken", F.coalesce(F.col("_s") == OK, F.lit(False)).alias("readable"))

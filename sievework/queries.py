@@ -12,6 +12,7 @@ from sievework.operators.components import connected_components
 from sievework.operators.grouping import group, groups, links
 from sievework.plans import views as V
 from sievework.schema import LEVELS, REVIEW_FOLDER
+from sievework.sources import labels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -439,3 +440,20 @@ def overall_precision(spark, d):
 def rule_effect(spark, d):
     labels, buckets = _labelled(spark, d)
     return evaluate.rule_effect(labels, V.vec_files(spark, d), buckets)
+
+
+# --- label files and samples --------------------------------------------------------------------
+
+@query("originals_sample", f"WITH {O.DOC} SELECT path, row_number() OVER (ORDER BY md5('7|' || path), path)::INTEGER AS nth FROM doc_files WHERE regexp_matches(lower(path), '[.](jpg|jpeg|png|bmp|tif|tiff|webp)$') ORDER BY nth LIMIT 60")
+def originals_sample(spark, d):
+    return evaluate.drawn(V.doc_files(spark, d), 7, 60).select("path", "nth")
+
+
+_LABELS = "SELECT (l_orderkey * 10 + l_linenumber)::INTEGER AS id, list_extract(['0–2', '3–4', '5–6', '7–8', 'none'], (l_suppkey % 5 + 1)::INTEGER) AS bucket, l_quantity::INTEGER % 10 AS p, l_linenumber::INTEGER AS d, CASE l_returnflag WHEN 'A' THEN 'same' WHEN 'R' THEN 'maybe' END AS verdict FROM lineitem"
+
+
+@query("label_violations", f"WITH b(bucket, lo, hi) AS (VALUES ('0–2', 0, 2), ('3–4', 3, 4), ('5–6', 5, 6), ('7–8', 7, 8)), p AS ({_LABELS}), t AS (SELECT id, CASE WHEN coalesce(verdict NOT IN ('same', 'different'), false) THEN 'verdict' WHEN lo IS NULL THEN 'bucket' WHEN greatest(p, d) NOT BETWEEN lo AND hi THEN 'distance' END AS problem FROM p LEFT JOIN b USING (bucket)) SELECT * FROM t WHERE problem IS NOT NULL")
+def label_violations(spark, d):
+    pairs = V.table(spark, d, "lineitem").selectExpr("cast(l_orderkey * 10 + l_linenumber as int) AS id", "element_at(array('0–2', '3–4', '5–6', '7–8', 'none'), cast(l_suppkey % 5 as int) + 1) AS bucket", "cast(l_quantity as int) % 10 AS p", "cast(l_linenumber as int) AS d", "CASE l_returnflag WHEN 'A' THEN 'same' WHEN 'R' THEN 'maybe' END AS verdict")
+    buckets = spark.createDataFrame([(labels.VERSION, *b, 0) for b in evaluate.BUCKETS], "version int, bucket string, lo int, hi int, population long")
+    return labels.violations(buckets, pairs)

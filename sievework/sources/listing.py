@@ -156,11 +156,14 @@ def scan(spark: SparkSession, roots: list[str], cache: DataFrame | None = None,
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table; empty where there is none or it has another form. An older one without frame counts is migrated."""
+    """The cache table; empty where there is none or it has another form. Where a save was broken off between its two renames the table before it is read. An older one without frame counts is migrated."""
     from pyspark.errors import AnalysisException
 
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".old"))
+    fs = at.getFileSystem(conf)
     try:
-        found = spark.read.parquet(path)
+        found = spark.read.parquet(path if fs.exists(at) or not fs.exists(old) else path + ".old")
         if "frame_count" not in found.columns:
             return _as_catalog(caching.migrated(found.withColumn("frame_count", F.lit(None).cast("int"))))
         return found.select(*CATALOG.names)
@@ -175,8 +178,8 @@ def save_cache(rows: DataFrame, path: str) -> bool:
     fs = at.getFileSystem(conf)
     try:
         caching.to_store(rows).select(*CATALOG.names).write.mode("overwrite").parquet(path + ".new")
-        fs.delete(old, True)
         if fs.exists(at):
+            fs.delete(old, True)
             fs.rename(at, old)
         done = fs.rename(tmp, at)
         fs.delete(old, True)

@@ -23,9 +23,10 @@ def arrivals(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFra
 
 
 def keep_cache(rows: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:
-    """Upsert every micro-batch into the cache. A batch that is run again after a failure leaves the same table."""
+    """Upsert every micro-batch into the cache. A batch whose save fails isn't committed, and one that is run again leaves the same table."""
 
     def take(batch: DataFrame, _: int) -> None:
-        save_cache(upserted(load_cache(batch.sparkSession, cache_path), batch), cache_path)
+        if not save_cache(upserted(load_cache(batch.sparkSession, cache_path), batch), cache_path):
+            raise OSError(f"{cache_path} could not be saved")
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
