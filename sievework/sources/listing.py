@@ -18,6 +18,7 @@ from sievework.functions.hashing import fingerprint_udf
 from sievework.functions.imaging import details_udf
 from sievework.operators import cache as caching
 from sievework.schema import CATALOG, DECODE_FAILED, EXTENSIONS, LISTING, OK, ONLINE_ONLY, REVIEW_FOLDER, UNREADABLE
+from sievework.sources.pixels import with_pixels
 
 HIDDEN, SYSTEM = 0x2, 0x4  # attribute bits
 FAN_OUT = 64
@@ -151,7 +152,8 @@ def scan(spark: SparkSession, roots: list[str], cache: DataFrame | None = None,
     rest = caching.misses(files, old)
     away = F.lit(False) if online_only_too else text.is_online_only(F.col("attributes"))
     skipped = _as_catalog(rest.filter(away).withColumn("status", F.lit(ONLINE_ONLY)))
-    fresh = analysed(rest.filter(~away))
+    wanted = rest.filter(~away)
+    fresh = with_pixels(analysed(wanted), wanted)
     return _as_catalog(hit).withColumn("from_cache", F.lit(True)).unionByName(fresh.unionByName(skipped).unionByName(missing).withColumn("from_cache", F.lit(False)))
 
 

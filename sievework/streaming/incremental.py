@@ -12,6 +12,7 @@ from sievework.functions.imaging import details_udf
 from sievework.operators.cache import upserted
 from sievework.schema import CATALOG, DECODE_FAILED, OK
 from sievework.sources.listing import load_cache, save_cache
+from sievework.sources.pixels import with_pixels
 
 
 def arrivals(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
@@ -26,7 +27,8 @@ def keep_cache(rows: DataFrame, cache_path: str, checkpoint: str) -> StreamingQu
     """Upsert every micro-batch into the cache. A batch whose save fails isn't committed, and one that is run again leaves the same table."""
 
     def take(batch: DataFrame, _: int) -> None:
-        if not save_cache(upserted(load_cache(batch.sparkSession, cache_path), batch), cache_path):
+        rows = with_pixels(batch, batch)
+        if not save_cache(upserted(load_cache(batch.sparkSession, cache_path), rows), cache_path):
             raise OSError(f"{cache_path} could not be saved")
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
