@@ -114,8 +114,14 @@ def sizes_text(a: Column, b: Column) -> Column:
     return out
 
 
-def dates_text(a: Column, b: Column) -> Column:
-    """'x vs y': days, with the time of day where the days are the same."""
+def local_time(t: Column, zone: str) -> Column:
+    """A UTC time without a zone as the clock of zone shows it, whatever the session's."""
+    return t if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
+
+
+def dates_text(a: Column, b: Column, zone: str = "UTC") -> Column:
+    """'x vs y': days of the zone, with the time of day where the days are the same."""
+    a, b = local_time(a, zone), local_time(b, zone)
     form = lambda t: F.when(F.to_date(a) == F.to_date(b), F.date_format(t, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd"))
     return F.concat(form(a), F.lit(" vs "), form(b))
 

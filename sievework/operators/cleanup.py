@@ -86,8 +86,31 @@ def sidecars(photos: DataFrame, listing: DataFrame, suffixes: tuple[str, ...] =
 
 
 def after_move(selected: DataFrame, moved: DataFrame, failures: DataFrame) -> DataFrame:
-    """What stays selected: failed only because it was in use."""
-    return selected.join(moved.select("path"), "path", "left_anti").join(failures.filter("reason = 'InUse'").select("path"), "path", "left_semi")
+    """What stays selected: neither moved nor failed for another reason than being in use, whatever the case of the paths. moved (path), failures (path, reason)."""
+    leaves = moved.select(F.upper("path").alias("_u")).unionByName(failures.filter("NOT reason <=> 'InUse'").select(F.upper("path").alias("_u")))
+    return selected.join(leaves, F.upper("path") == F.col("_u"), "left_anti")
+
+
+def moved_photos(planned: DataFrame, moved: DataFrame) -> DataFrame:
+    """moved (path, ..) with the size that the plan knows of each removal, 0 where it has none."""
+    sizes = planned.filter("action = 'remove'").select(F.upper("path").alias("_u"), F.col("size_bytes").alias("_size")).dropDuplicates(["_u"])
+    return moved.join(sizes, F.upper("path") == F.col("_u"), "left").withColumn("size_bytes", F.coalesce("_size", F.lit(0))).drop("_u", "_size")
+
+
+def moved_out(before: DataFrame, moved: DataFrame) -> DataFrame:
+    """Every path (path) that has left the library so far, once."""
+    return before.select("path").unionByName(moved.select("path")).dropDuplicates(["path"])
+
+
+def after_undo(batch: DataFrame, restored: DataFrame, failures: DataFrame, listing: DataFrame) -> DataFrame:
+    """What an undo made of each file of a batch (path): outcome and now_path. Restored: put back, under another name perhaps; Retry: in use or an input error, still in the batch; Lost: failed for good; Back: neither told of, but at its old place; Gone: nor there. restored (path, restored_path), failures (path, reason), listing (path): files that are there now."""
+    u = F.upper("path").alias("_u")
+    back = restored.select(u, F.col("restored_path").alias("_to")).dropDuplicates(["_u"])
+    bad = failures.groupBy(u).agg(F.max(F.col("reason").isin("InUse", "IoError")).alias("_retry"))
+    there = listing.select(u).distinct().withColumn("_there", F.lit(True))
+    rows = batch.withColumn("_u", F.upper("path")).join(back, "_u", "left").join(bad, "_u", "left").join(there, "_u", "left")
+    outcome = F.when(F.col("_to").isNotNull(), "Restored").when(F.col("_retry"), "Retry").when(F.col("_retry").isNotNull(), "Lost").when(F.col("_there"), "Back").otherwise("Gone")
+    return rows.withColumn("outcome", outcome).withColumn("now_path", F.when(F.col("outcome") == "Restored", F.col("_to")).when(F.col("outcome") == "Back", F.col("path"))).drop("_u", "_to", "_retry", "_there")
 
 
 def lost_after_undo(failures: DataFrame, retry: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.hashing import hamming
 from sievework.schema import OK, ONLINE_ONLY
 
 # The buckets pairs are labelled in, and the normal quantile of a 95 % interval.
@@ -134,3 +135,20 @@ def times_read(labels: DataFrame, files: DataFrame) -> DataFrame:
     """The labelled paths (keeper, member), each once, with date_taken; readable is false where the catalog has none or could not decode it."""
     paths = labels.select(F.col("keeper").alias("path")).unionByName(labels.select(F.col("member").alias("path"))).distinct()
     return paths.join(files.select("path", "date_taken", F.col("status").alias("_s")), "path", "left").select("path", "date_taken", F.coalesce(F.col("_s") == OK, F.lit(False)).alias("readable"))
+
+
+def unreadable(read: DataFrame) -> DataFrame:
+    """One row: how many labelled paths could not be read. read: of times_read."""
+    return read.agg(F.count("*").alias("paths"), F.count_if(~F.col("readable")).alias("unreadable"))
+
+
+def variant_distances(variants: DataFrame, originals_: DataFrame, key: str) -> DataFrame:
+    """variants joined with their original on key, with the distances p and d of the hashes; a variant whose original is missing or without hashes has no row."""
+    o = originals_.filter("p_hash IS NOT NULL AND d_hash IS NOT NULL").select(key, F.col("p_hash").alias("_p"), F.col("d_hash").alias("_d"))
+    return variants.join(o, key).withColumns({"p": hamming(F.col("p_hash"), F.col("_p")), "d": hamming(F.col("d_hash"), F.col("_d"))}).drop("_p", "_d")
+
+
+def beyond(pairs: DataFrame, n: int = TOP) -> DataFrame:
+    """One row: how many pairs a report of the first n leaves out, and the line that says so (null: none)."""
+    rest = F.greatest(F.count("*") - n, F.lit(0))
+    return pairs.agg(rest.alias("more")).withColumn("line", F.when(F.col("more") > 0, F.concat(F.lit("… and "), F.col("more").cast("string"), F.lit(" more"))))

@@ -63,8 +63,8 @@ def signs(a: str, b: str) -> dict[str, Column]:
     return dict(zip(CRITERIA, (more("tier"), more("has_camera"), less("is_copy"), more("size_key"), less("modified"), less("path")), strict=True))
 
 
-def reason(a: str, b: str) -> dict[str, Column]:
-    """Why the winner a is better than b, for each criterion that may tell them apart."""
+def reason(a: str, b: str, zone: str = "UTC") -> dict[str, Column]:
+    """Why the winner a is better than b, for each criterion that may tell them apart; zone: whose clock dates are shown by."""
     c = lambda s, n: F.col(f"{s}{n}")
     size = lambda s: F.coalesce(F.concat(c(s, "width").cast("string"), F.lit("×"), c(s, "height").cast("string")), F.lit("unknown"))
     camera = text.camera_name(c(a, "camera_make"), c(a, "camera_model"))
@@ -73,7 +73,7 @@ def reason(a: str, b: str) -> dict[str, Column]:
         F.coalesce(F.concat(F.lit("Has camera data ("), camera, F.lit(")")), F.lit("Has camera data")),
         F.concat(F.lit('Original file name ("'), text.base_name(c(b, "path")), F.lit('" looks like a copy)')),
         F.concat(F.lit("Larger file, less compressed ("), text.sizes_text(c(a, "size_bytes"), c(b, "size_bytes")), F.lit(")")),
-        F.concat(F.lit("Older copy (modified "), text.dates_text(c(a, "last_write"), c(b, "last_write")), F.lit(")")),
+        F.concat(F.lit("Older copy (modified "), text.dates_text(c(a, "last_write"), c(b, "last_write"), zone), F.lit(")")),
         F.lit("Equally good copies; first by path"),
     )
     return dict(zip(CRITERIA, texts, strict=True))
@@ -94,20 +94,20 @@ def first_of(found: dict[str, Column], pick) -> Column:
 _FIELDS = ("path", "size_bytes", "last_write", "sha256", "width", "height", "camera_make", "camera_model", "tier", "has_camera", "is_copy", "size_key", "modified")
 
 
-def keeper_reasons(rows: DataFrame, set_col: str) -> DataFrame:
+def keeper_reasons(rows: DataFrame, set_col: str, zone: str = "UTC") -> DataFrame:
     """rows: ranked within set_col. (set, keeper, rival, reason): the first criterion that sets the keeper apart from the best file that isn't of its bytes. Keeper and rival are least values of a set, found by partial aggregation."""
     me = F.struct("rank", *_FIELDS)
     best = rows.groupBy(set_col).agg(F.min(me).alias("k"))
     rival = rows.join(best.select(set_col, F.col("k.sha256").alias("_sha"), F.col("k.path").alias("_path")), set_col).filter("path <> _path AND NOT coalesce(sha256 = _sha, false)").groupBy(set_col).agg(F.min(me).alias("r"))
     both = best.join(rival, set_col, "left").select(set_col, *[F.col(f"k.{c}").alias(f"k_{c}") for c in _FIELDS], *[F.col(f"r.{c}").alias(f"r_{c}") for c in _FIELDS])
-    why = reason("k_", "r_")
+    why = reason("k_", "r_", zone)
     return both.select(set_col, F.col("k_path").alias("keeper"), F.col("r_path").alias("rival"), F.when(F.col("r_path").isNull(), IDENTICAL).otherwise(first_of(signs("k_", "r_"), why.__getitem__)).alias("reason"))
 
 
-def compare(pairs: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, zone: str = "UTC") -> DataFrame:
     """pairs with the fields of two files under a_ and b_, keys measured in the same set: winner -1 (a), 1 (b) or 0 (one path), decided_by, reason, and a sign for each criterion."""
     s = signs("a_", "b_")
-    left, right = reason("a_", "b_"), reason("b_", "a_")
+    left, right = reason("a_", "b_", zone), reason("b_", "a_", zone)
     winner = F.coalesce(*[F.nullif(s[c], F.lit(0)) for c in CRITERIA], F.lit(0))
     return pairs.withColumns({
         "winner": winner,
@@ -115,3 +115,14 @@ def compare(pairs: DataFrame) -> DataFrame:
         "reason": F.when(winner == 0, IDENTICAL).when(same_bytes("a_", "b_"), IDENTICAL).otherwise(first_of(s, lambda c: F.when(s[c] < 0, left[c]).otherwise(right[c]))),
         "by_criterion": F.create_map(*[x for c in CRITERIA for x in (F.lit(c), s[c])]),
     })
+
+
+def compare_in(asks: DataFrame, files: DataFrame, context: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
+    """compare() of the files a and b of each ask (ask, a, b: paths), their keys measured among the two and, where given, the ask's context (ask, path). One path twice has no winner; a path that files lacks drops its ask."""
+    wanted = asks.select("ask", F.explode(F.array("a", "b")).alias("path"))
+    if context is not None:
+        wanted = wanted.unionByName(context.select("ask", "path"))
+    keyed = rank_keys(wanted.distinct().join(files.select(*[c for c in files.columns if c != "ask"]), "path"), "ask").withColumnRenamed("ask", "_ask")
+    a, b = (keyed.select(*[F.col(c).alias(f"{s}_{c}") for c in keyed.columns]) for s in "ab")
+    both = asks.join(a, F.expr("ask = a__ask AND a = a_path")).join(b, F.expr("ask = b__ask AND b = b_path")).drop("a__ask", "b__ask")
+    return compare(both, zone)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text
+from sievework.functions.text import normalized
 from sievework.operators.kinds import KINDS
+from sievework.schema import UNREADABLE
 
 # Texts shown for a member's kind and for a stand-in keeper.
 MATCH_TEXT = {"Keeper": "★ Suggested keeper", "Identical": "Identical copy", "SamePhoto": "Same photo", "Similar": "Similar shot"}
@@ -106,3 +108,14 @@ def covering_folders(folders: DataFrame) -> DataFrame:
     up = one.select("u", "path", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length("u")), lambda i: F.when(F.substring("u", i, F.lit(1)).isin("/", "\\"), F.substring("u", F.lit(1), i - 1))), lambda x: x.isNotNull())).alias("ancestor"))
     inner = up.join(one.select(F.col("u").alias("ancestor")), "ancestor", "left_semi").select("u").distinct()
     return one.join(inner, "u", "left_anti").select("path")
+
+
+def by_path(rows: DataFrame, path: str = "path") -> DataFrame:
+    """rows in the order of their paths, whatever the case; equal ones by code point. A range shuffle, no single task. Files, problems and selections by path; groups by "group_id", their keeper's path."""
+    return rows.orderBy(F.upper(path), path)
+
+
+def unreadable_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """The folders (path) asked for that a scan could not open: the catalog has an Unreadable row under the folder's own path, whatever the case or closing separators."""
+    key = lambda c: F.upper(normalized(F.col(c))).alias("_u")
+    return folders.join(files.filter(F.col("status") == UNREADABLE).select(key("path")), F.upper(normalized(F.col("path"))) == F.col("_u"), "left_semi")

@@ -356,6 +356,93 @@ def orphan_sidecars(spark, d):
     return cleanup.orphan_sidecars(_ledger(spark, d)).select("batch_id", "root", "relative_path", "sidecar_of")
 
 
+# --- after a move and an undo -------------------------------------------------------------------
+
+_DONE = f"{O.DOC}, b AS (SELECT * FROM doc_files WHERE doc_id % 2 = 0), mv AS (SELECT upper(path) AS path FROM b WHERE doc_id % 3 = 0), fl AS (SELECT path, (['InUse', 'IoError', 'NotFound', 'ChangedSinceScan'])[doc_id % 8 // 2 + 1] AS reason FROM b WHERE doc_id % 3 = 1), rs AS (SELECT path, path || '.back' AS restored_path FROM b WHERE doc_id % 3 = 0)"
+
+
+def _done(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A batch of files; those moved, told in capitals; those that failed; those put back."""
+    b = V.doc_files(spark, d).withColumn("doc_id", F.expr("cast(regexp_extract(path, 'doc_([0-9]+)', 1) as bigint)")).filter("doc_id % 2 = 0")
+    third = b.filter("doc_id % 3 = 0")
+    failed = b.filter("doc_id % 3 = 1").selectExpr("path", "element_at(array('InUse', 'IoError', 'NotFound', 'ChangedSinceScan'), cast(doc_id % 8 div 2 as int) + 1) AS reason")
+    return b, third.select(F.upper("path").alias("path")), failed, third.selectExpr("path", "concat(path, '.back') AS restored_path")
+
+
+@query("after_move", f"WITH {_DONE} SELECT path FROM b WHERE upper(path) NOT IN (SELECT path FROM mv) AND path NOT IN (SELECT path FROM fl WHERE reason <> 'InUse')")
+def after_move(spark, d):
+    b, moved, failed, _ = _done(spark, d)
+    return cleanup.after_move(b.select("path"), moved, failed)
+
+
+@query("moved_photos", f"WITH {_DONE} SELECT mv.path, CASE WHEN doc_id % 5 > 0 THEN size_bytes ELSE 0 END AS size_bytes FROM mv JOIN b ON upper(b.path) = mv.path")
+def moved_photos(spark, d):
+    b, moved, _, _ = _done(spark, d)
+    return cleanup.moved_photos(b.withColumn("action", F.when(F.col("doc_id") % 5 > 0, "remove").otherwise("keep")), moved)
+
+
+@query("moved_out", f"WITH {_DONE} SELECT path FROM b WHERE doc_id % 4 = 0 UNION SELECT restored_path[1:-6] FROM rs")
+def moved_out(spark, d):
+    b, _, _, back = _done(spark, d)
+    return cleanup.moved_out(b.filter("doc_id % 4 = 0"), back)
+
+
+@query("after_undo", f"WITH {_DONE} SELECT b.path, CASE WHEN restored_path IS NOT NULL THEN 'Restored' WHEN reason IN ('InUse', 'IoError') THEN 'Retry' WHEN reason IS NOT NULL THEN 'Lost' WHEN doc_id % 5 = 0 THEN 'Back' ELSE 'Gone' END AS outcome, CASE WHEN restored_path IS NOT NULL THEN restored_path WHEN reason IS NULL AND doc_id % 5 = 0 THEN b.path END AS now_path FROM b LEFT JOIN rs ON rs.path = b.path LEFT JOIN fl ON fl.path = b.path")
+def after_undo(spark, d):
+    b, _, failed, back = _done(spark, d)
+    return cleanup.after_undo(b.select("path", "doc_id"), back, failed, b.filter("doc_id % 5 = 0")).select("path", "outcome", "now_path")
+
+
+@query("plan_totals", f"{O.vec_groups('SamePhoto')} SELECT count(*) AS files, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM gm WHERE kind = 'Identical'")
+def plan_totals(spark, d):
+    m = _vec(spark, d)
+    return cleanup.plan_totals(cleanup.plan(m, m.filter("kind = 'Identical'").select("path"), spark.createDataFrame([("/vec",)], "root string")))
+
+
+@query("unreadable_folders", "SELECT * FROM (VALUES ('/Lib/a/'), ('/lib/c')) t(path)")
+def unreadable_folders(spark, d):
+    files = V.doc_files(spark, d).select("path", "status").unionByName(spark.createDataFrame([("/lib/A", "Unreadable"), ("/lib/b", "DecodeFailed"), ("/lib/C\\", "Unreadable")], "path string, status string"))
+    return results.unreadable_folders(spark.createDataFrame([("/Lib/a/",), ("/lib/b",), ("/lib/c",), ("/lib",)], "path string"), files)
+
+
+# --- orders, and two files side by side ---------------------------------------------------------
+
+@query("files_by_path", f"WITH {O.DOC} SELECT path, size_bytes FROM doc_files ORDER BY upper(path), path")
+def files_by_path(spark, d):
+    return results.by_path(V.doc_files(spark, d)).select("path", "size_bytes")
+
+
+@query("groups_by_keeper", f"{O.doc_groups()} SELECT group_id, count(*) AS n_members FROM gm GROUP BY 1 ORDER BY upper(group_id), group_id")
+def groups_by_keeper(spark, d):
+    return results.by_path(results.group_totals(group(V.doc_files(spark, d), "Exact")), "group_id").select("group_id", "n_members")
+
+
+@query("problems_by_path", SQL["validate_problems"] + " ORDER BY path")
+def problems_by_path(spark, d):
+    return results.by_path(validate_problems(spark, d))
+
+
+_ALONE = f"{O.ITEM}, {O.ranking('item_files', 'set_id')}, ak AS (SELECT r.path AS ask, k.path AS a, r.path AS b FROM rk k JOIN rk r ON r.set_id = k.set_id AND k.rnk = 1 AND r.rnk > 1), ax AS (SELECT ask, unnest([a, b]) AS path FROM ak), af AS (SELECT * FROM ax JOIN item_files USING (path)), {O.ranking('af', 'ask', 'rp')}, "
+
+
+@query("compare_alone", f"WITH {_ALONE} p AS (SELECT ak.*, " + ", ".join(f"({v})::INTEGER AS {k}" for k, v in _SIGN.items()) + f", coalesce(a.sha256 = b.sha256, false) AS same, {O.reason('a', 'b')} AS ra, {O.reason('b', 'a')} AS rb FROM ak JOIN rp a ON a.ask = ak.ask AND a.path = ak.a JOIN rp b ON b.ask = ak.ask AND b.path = ak.b), w AS (SELECT *, CASE WHEN Resolution <> 0 THEN Resolution WHEN CameraData <> 0 THEN CameraData WHEN OriginalName <> 0 THEN OriginalName WHEN FileSize <> 0 THEN FileSize WHEN OlderCopy <> 0 THEN OlderCopy ELSE Path END AS winner FROM p) SELECT a, b, winner, CASE WHEN same OR winner = 0 THEN 'Identical copies' WHEN winner < 0 THEN ra ELSE rb END AS reason FROM w")
+def compare_alone(spark, d):
+    """Each set's keeper beside each other file, their keys measured between the two alone."""
+    files = V.item_files(spark, d)
+    r = ranking.ranked(files, "set_id")
+    asks = r.filter("rank > 1").select("set_id", F.col("path").alias("b")).join(r.filter("rank = 1").select("set_id", F.col("path").alias("a")), "set_id").select(F.col("b").alias("ask"), "a", "b")
+    return ranking.compare_in(asks, files).select("a", "b", "winner", "reason")
+
+
+_MOVED_TIME = "(last_write + INTERVAL 330 MINUTE)"
+
+
+@query("local_dates", f"WITH {O.DOC} SELECT path, {O.dates(_MOVED_TIME, '(' + _MOVED_TIME + ' + to_hours((doc_id % 30)::INTEGER))')} AS dates FROM doc_files")
+def local_dates(spark, d):
+    i = "cast(regexp_extract(path, 'doc_([0-9]+)', 1) as int)"
+    return V.doc_files(spark, d).select("path", text.dates_text(F.col("last_write"), F.expr(f"last_write + make_dt_interval(0, {i} % 30)"), "+05:30").alias("dates"))
+
+
 # --- evaluation ---------------------------------------------------------------------------------
 
 _VARIANTS = f"{O.VEC}, va AS (SELECT b.k, b.vec_id, b.path, bit_count(xor(a.p_hash, b.p_hash)::BIT) AS p, bit_count(xor(a.d_hash, b.d_hash)::BIT) AS d FROM vec_files a JOIN vec_files b ON a.vec_id = b.vec_id AND a.k = 0 AND b.k > 0 WHERE b.p_hash IS NOT NULL)"
@@ -457,3 +544,21 @@ def label_violations(spark, d):
     pairs = V.table(spark, d, "lineitem").selectExpr("cast(l_orderkey * 10 + l_linenumber as int) AS id", "element_at(array('0–2', '3–4', '5–6', '7–8', 'none'), cast(l_suppkey % 5 as int) + 1) AS bucket", "cast(l_quantity as int) % 10 AS p", "cast(l_linenumber as int) AS d", "CASE l_returnflag WHEN 'A' THEN 'same' WHEN 'R' THEN 'maybe' END AS verdict")
     buckets = spark.createDataFrame([(labels.VERSION, *b, 0) for b in evaluate.BUCKETS], "version int, bucket string, lo int, hi int, population long")
     return labels.violations(buckets, pairs)
+
+
+@query("variant_distances", f"WITH {_VARIANTS} SELECT path, k::INTEGER AS k, p::INTEGER AS p, d::INTEGER AS d FROM va")
+def variant_distances(spark, d):
+    v = V.vec_files(spark, d).filter("p_hash IS NOT NULL")
+    return evaluate.variant_distances(v.filter("k > 0"), v.filter("k = 0"), "vec_id").select("path", F.col("k").cast("int").alias("k"), F.col("p").cast("int").alias("p"), F.col("d").cast("int").alias("d"))
+
+
+@query("false_positives_beyond", f"WITH {_UNREL}, t AS (SELECT greatest(count(*) - 100, 0) AS more FROM un WHERE greatest(p, d) <= 14) SELECT more, CASE WHEN more > 0 THEN '… and ' || more || ' more' END AS line FROM t")
+def false_positives_beyond(spark, d):
+    return evaluate.beyond(_unrelated(spark, d, evaluate.GRID[1]))
+
+
+@query("times_unreadable", f"WITH {O.VEC}, l AS (SELECT path FROM vec_files WHERE k IN (0, 5) UNION SELECT '/away/' || vec_id FROM vec_files WHERE k = 0 AND vec_id % 9 = 0) SELECT count(*) AS paths, count(*) FILTER (status IS NULL OR status <> 'Ok') AS unreadable FROM l LEFT JOIN vec_files USING (path)")
+def times_unreadable(spark, d):
+    v = V.vec_files(spark, d)
+    labelled = v.filter("k = 0").selectExpr("vec_id", "path AS keeper").join(v.filter("k = 5").selectExpr("vec_id", "path AS member"), "vec_id").select("keeper", "member").unionByName(v.filter("k = 0 AND vec_id % 9 = 0").selectExpr("path AS keeper", "concat('/away/', vec_id) AS member"))
+    return evaluate.unreadable(evaluate.times_read(labelled, v))
