@@ -160,6 +160,9 @@ def in_review_folder(path: Column, name: str) -> Column:
     return F.array_contains(F.split(F.upper(path), "[/\\\\]"), name.upper())
 
 
+ONLINE_ONLY_BITS = 0x1000 | 0x40000 | 0x400000  # fixed value: attribute bits of a file whose bytes are elsewhere
+
+
 def is_online_only(attributes: Column) -> Column:
     """Offline, recall on open or recall on data access."""
-    return attributes.bitwiseAND(F.lit(0x1000 | 0x40000 | 0x400000)) != 0
+    return attributes.bitwiseAND(F.lit(ONLINE_ONLY_BITS)) != 0

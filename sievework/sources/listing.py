@@ -36,6 +36,15 @@ def candidate(path: str) -> tuple:
     return path, s.st_size, datetime.fromtimestamp(s.st_mtime, timezone.utc).replace(tzinfo=None), _attributes(s, os.path.basename(path))
 
 
+def availability(path: str) -> str:
+    """Local, OnlineOnly (its bytes are elsewhere; asking doesn't fetch them) or Unavailable, as the disk has it now."""
+    try:
+        s = os.stat(path)
+    except (OSError, ValueError):
+        return "Unavailable"
+    return "OnlineOnly" if _attributes(s, os.path.basename(path)) & text.ONLINE_ONLY_BITS else "Local"
+
+
 def may_enter(path: str, review: str = REVIEW_FOLDER) -> bool:
     """Not a review folder, whatever its case, and not a link."""
     return os.path.basename(path).upper() != review.upper() and not os.path.islink(path)
