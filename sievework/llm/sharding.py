@@ -1,6 +1,6 @@
 """Operator 1: shards of near-equal bytes from sampled splitters.
 
-Records are ordered by a key. A size-weighted sample of the keys gives quantile splitters; these split the records into ranges, and each range that holds more than its share is sampled again and subdivided until none is overfull. Exact byte and row counts of the ranges, a few hundred numbers, turn positions inside a range into positions in the whole order, so the shards come out the same whatever the sample was: the sample decides only how the work is dealt out.
+Records are ordered by a key. A size-weighted sample of the keys gives quantile splitters; these split the records into ranges, and each range that holds more than its share is sampled again and subdivided until none is overfull. Exact byte and row counts of the ranges turn positions inside a range into positions in the whole order, so the shards come out the same whatever the sample was: the sample decides only how the work is dealt out.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from .common import cut, table, utf8
 
 OVERHEAD = 16
 SHARDS = 40
+RANGE_ROWS = 1_000_000
+"""Rows meant for a range."""
 SAMPLE = 64
-"""Expected sample keys for each range; with at most RANGES ranges that bounds what the driver holds."""
-RANGES = 512
-ROUNDS = 6
+"""Expected sample keys for each range, fewer where that would make over SAMPLED in all; so what the driver holds is bounded."""
+SAMPLED = 1 << 19
+RANGES = 1 << 14
 
 
 ORDERED_ID = "coalesce(cast(cast(doc_id as decimal(20,0)) + 10000000000000000000BD as string), '~')"
@@ -38,49 +40,49 @@ def weighted_sample(rows: DataFrame, key: str, size: Column, total: int, wanted:
 
 
 def quantiles(sample: list[tuple[str, float]], parts: int) -> list[str]:
-    """The keys that split a weighted sample into parts of equal weight; fewer where one key holds more than a part."""
+    """The keys that split a weighted sample into parts of equal weight; a key that holds more than a part has one of its own, up to the next key of the sample."""
     if not sample or parts < 2:
         return []
-    cum = np.cumsum([w for _, w in sample])
+    weights = np.array([w for _, w in sample])
+    cum = np.cumsum(weights)
     at = np.searchsorted(cum, cum[-1] * np.arange(1, parts) / parts)
-    return sorted({sample[i][0] for i in at})
+    after = np.flatnonzero(weights > cum[-1] / parts) + 1
+    return sorted({sample[i][0] for i in (*at, *after[after < len(sample)])})
 
 
 def range_of(key: Column, splitters: list[str]) -> Column:
     """How many splitters are at most the key."""
 
+    marks = np.array(splitters, dtype=str)
+
     @F.pandas_udf(T.IntegerType())
     def place(k: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(splitters, x) for x in k], dtype="int32")
+        return pd.Series(np.searchsorted(marks, k.to_numpy(dtype=str), "right"), dtype="int32")
 
     return place(key)
 
 
-def split(rows: DataFrame, key: str, size: str, parts: int) -> tuple[DataFrame, list]:
-    """rows with `rng`, the range of its key, and for each range its (rng, bytes, rows) in order. Key: a string that isn't null.
+def splitters(rows: DataFrame, key: str, size: str, parts: int) -> tuple[list[str], list]:
+    """Splitters of rows into about `parts` ranges of equal size, and for each range its (rng, b bytes, n rows, lo, hi) in order. Key: a string that isn't null.
 
-    Splitters come from a weighted sample. A range of over twice its share is sampled by itself, at a higher rate, and subdivided, until all fit or the overfull ones hold a single key."""
-    spark = rows.sparkSession
+    Splitters come from a weighted sample. Ranges of over twice their share are sampled again, in one pass and at eight times the rate each time, and subdivided at the sample's quantiles and at their last key, until all fit or the overfull ones hold a single key."""
     all_ = rows.agg(F.sum(size).alias("b"), F.count("*").alias("n")).first()
     total, parts = all_.b or 0, max(1, min(parts, RANGES, all_.n or 1))
     share = max(1, total // parts)
-    marks = quantiles(weighted_sample(rows, key, F.col(size), total, SAMPLE * parts), parts)
-    for _ in range(ROUNDS):
+    draws = min(SAMPLE, SAMPLED // parts)
+    marks = quantiles(weighted_sample(rows, key, F.col(size), total, draws * parts), parts)
+    while True:
         ranged = rows.withColumn("rng", range_of(F.col(key), marks))
         held = ranged.groupBy("rng").agg(F.sum(size).alias("b"), F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("rng").collect()
-        over = [r for r in held if r.b > 2 * share and r.lo < r.hi]
+        over = {r.rng: r for r in held if r.b > 2 * share and r.lo < r.hi}
         if not over:
-            break
-        more = set()
-        for r in over:
-            own = ranged.filter(F.col("rng") == r.rng)
-            pieces = int(2 * r.b // share) + 1
-            more |= {k for k in quantiles(weighted_sample(own, key, F.col(size), r.b, SAMPLE * pieces), pieces)} | {r.hi}
-        grown = sorted(set(marks) | more)
-        if grown == marks:
-            break
-        marks = grown
-    return ranged, held
+            return marks, held
+        draws *= 8
+        own: dict[int, list[tuple[str, float]]] = {rng: [] for rng in over}
+        for k, w in weighted_sample(ranged.filter(F.col("rng").isin(list(over))), key, F.col(size), share, draws):
+            own[bisect_right(marks, k)].append((k, w))
+        # a range's last key parts it at least in two, so every pass gets on
+        marks = sorted(set(marks).union(*({r.hi, *quantiles(own[rng], 2 * r.b // share + 1)} for rng, r in over.items())))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None) -> DataFrame:
@@ -92,14 +94,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int | None = N
     body = utf8(F.col("text"))
     rows = docs.select("doc_id", (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.concat(F.md5(body), F.lit(":"), F.expr(ORDERED_ID)).alias("key"))
     rows = cut(rows)
-    ranged, held = split(rows, "key", "size", ranges or 4 * shards)
+    marks, held = splitters(rows, "key", "size", ranges or max(4 * shards, rows.count() // RANGE_ROWS))
+    ranged = rows.withColumn("rng", range_of(F.col("key"), marks))
     spark = docs.sparkSession
     total = sum(r.b for r in held)
     at, before = [], (0, 0)
     for r in held:
         at.append((r.rng, *before))
         before = (before[0] + r.b, before[1] + r.n)
-    starts = spark.createDataFrame(at, "rng int, bytes_before long, rows_before long")  # one row for each range: at most a few hundred
+    starts = spark.createDataFrame(at, "rng int, bytes_before long, rows_before long")  # one row for each range
     w = Window.partitionBy("rng").orderBy("key")
     placed = (
         ranged.withColumns({"upto": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(w)})
