@@ -1,4 +1,4 @@
-"""Files in the shared folder, from Python on any executor: local paths directly, other schemes through Arrow's file systems. Renames are the driver's, through Hadoop's FileSystem, which knows every scheme Spark knows."""
+"""Files in the shared folder, from Python on any executor: local paths directly, other schemes through Arrow's file systems. What the driver writes goes through Hadoop's FileSystem, which knows every scheme Spark knows."""
 
 from __future__ import annotations
 
@@ -37,6 +37,28 @@ def read(uri: str) -> BinaryIO:
     return system.open_input_stream(path)
 
 
+def move(old: str, new: str) -> None:
+    """Rename a file from any executor; a move that an earlier try has made already counts as done. Raises where neither name exists."""
+    if (path := _local(old)) is not None:
+        try:
+            os.replace(path, _local(new))
+        except FileNotFoundError:
+            if not os.path.exists(_local(new)):
+                raise
+        return
+    from pyarrow.fs import FileType
+
+    system, path = _arrow(old)
+    _, to = _arrow(new)
+    if system.get_file_info(path).type == FileType.NotFound:
+        if system.get_file_info(to).type == FileType.NotFound:
+            raise FileNotFoundError(old)
+        return
+    if system.get_file_info(to).type != FileType.NotFound:
+        system.delete_file(to)
+    system.move(path, to)
+
+
 def rename(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
     """Rename each file; a move that an earlier try has made already counts as done. Raises where neither name exists."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -1,6 +1,6 @@
 """Operator 2: a deterministic sharded WARC writer, and the reader of what it wrote.
 
-Pages are dealt into ranges of page_id by splitters from a size-weighted sample that reruns draw alike, sorted inside each range, and written one gzip member a record. A file is closed when its compressed size reaches the limit. Headers and digests are made anew from the payload. Each task writes under a temporary name of its own; the driver renames the files of the tasks that succeeded and writes the manifest last, so a lost executor or a task that ran twice leaves no trace in it.
+Pages are dealt into ranges of page_id by splitters from a size-weighted sample that reruns draw alike, overfull ranges subdivided, sorted inside each range, and written one gzip member a record. A file is closed when its compressed size reaches the limit. Headers and digests are made anew from the payload. Each task writes under a temporary name of its own; then the files of the tasks that succeeded are renamed, in parallel, and the driver writes the manifest last, so a lost executor or a task that ran twice leaves no trace in it.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import cut, lookup, scratch, table, utf8
-from .sharding import quantiles, range_of, weighted_sample
+from .sharding import range_of, splitters
 
 REVISIT_FROM = 1000
 """Shorter payloads are never replaced by a reference."""
 ROLL = 64 << 20
 """Compressed bytes at which a file is closed."""
 RANGE = 16 << 20
-"""Payload bytes meant for a range; at most RANGES ranges."""
-RANGES = 4096
+"""Payload bytes meant for a range."""
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "range int, part int, tmp string, file string, bytes long, records long, sha256 string"
@@ -104,9 +103,9 @@ def write_warc(pages: DataFrame, to: str | None = None, roll: int = ROLL, range_
     spark = pages.sparkSession
     to = to or scratch(spark, "warc")
     sizes = pages.select(F.expr(KEY).alias("key"), (F.octet_length(utf8(F.col("html"))) + F.lit(300)).cast("long").alias("size"))
+    sizes = cut(sizes)
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, min(RANGES, total // range_bytes + 1))
-    marks = quantiles(weighted_sample(sizes, "key", F.col("size"), total, 64 * parts), parts)
+    marks, _ = splitters(sizes, "key", "size", total // range_bytes + 1)
     again = revisits(pages.select("page_id", "html"))
     # A mark that a page is a revisit sorts just before the page, so payloads are shuffled once, by range.
     both = pages.select("page_id", "url", "html", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(again.withColumn("kind", F.lit(0)), allowMissingColumns=True)
@@ -136,9 +135,15 @@ def write_warc(pages: DataFrame, to: str | None = None, roll: int = ROLL, range_
             yield _entries(out.done)
 
     made = cut(dealt.mapInArrow(write, ENTRY))  # checkpointed: the names of the tries that counted
-    rows = made.orderBy("range", "part").collect()  # one row for each file
-    files.rename(spark, [(f"{to}/{r.tmp}", f"{to}/{r.file}") for r in rows])
-    files.put(spark, f"{to}/manifest.json", json.dumps({"files": [{"file": r.file, "bytes": r.bytes, "records": r.records, "sha256": r.sha256} for r in rows]}, indent=1))
+    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tmp, name in zip(batch.column("tmp").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                files.move(f"{to}/{tmp}", f"{to}/{name}")
+            yield batch.select(["file"])
+
+    made.select("tmp", "file").mapInArrow(commit, "file string").count()
+    entries = made.orderBy("range", "part").select("file", "bytes", "records", "sha256").toLocalIterator()  # one row for each file
+    files.put(spark, f"{to}/manifest.json", json.dumps({"files": [r.asDict() for r in entries]}, indent=1))
     return to, made
 
 
@@ -178,7 +183,7 @@ def read_warc(spark: SparkSession, to: str, manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return manifest.select("file").repartition(max(1, min(RANGES, manifest.count()))).mapInArrow(parse, RECORD)
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(parse, RECORD)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
