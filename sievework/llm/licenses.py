@@ -36,8 +36,9 @@ NOTICES = {
     "public domain": "public-domain",
 }
 TAGS = ("spdx license identifier", "license expression")
-TAG = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])(?:spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier|license[^0-9a-z\x80-\U0010ffff]+expression)(?![0-9a-z\x80-\U0010ffff])[ \t]*[:=]?", re.ASCII | re.IGNORECASE)
-"""The automaton's TAGS in the text itself, where their words stand whole; it ends at the tag, so the next tag of a line is found too."""
+MARK = re.compile(r"[ \t]*[:=]?")
+"""What may stand between a tag and its expression."""
+WORD = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 #: with binds tightest, then and, then or.
 BINDS = {"or": 1, "and": 2, "with": 3}
@@ -145,6 +146,19 @@ def written(tree: list | str) -> str:
     return "".join(out)
 
 
+def spans(raw: bytes, tags: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where the words first..last of each tag stand in the text's characters; tags in order."""
+    ends = {n for tag in tags for n in tag}
+    places, chars, upto = {}, 0, 0
+    for n, m in enumerate(WORD.finditer(raw.translate(_FOLD))):
+        if n in ends:
+            # a word starts and ends at a character's edge
+            chars += len(raw[upto : m.start()].decode())
+            places[n] = (chars, chars + len(raw[m.start() : m.end()].decode()))
+            upto = m.start()
+    return [(places[first][0], places[last][1]) for first, last in tags]
+
+
 def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions of one text.
 
@@ -154,7 +168,7 @@ def scan(text: str | None) -> tuple:
     if not words:
         return 0, 0, None, None, "", "", 0.0, []
     line = b" " + b" ".join(words) + b" "
-    starts, base, more, tagged, upto, seen = [], set(), set(), False, 0, 0
+    starts, base, more, tags, upto, seen = [], set(), set(), [], 0, 0
     for end, phrase in automaton().iter(line.decode("latin-1")):
         # ends come in order: blanks are counted once over the whole line
         seen += line.count(b" ", upto, end)
@@ -167,13 +181,13 @@ def scan(text: str | None) -> tuple:
             starts.append(None)
             more.add(NOTICES[phrase])
         else:
-            tagged = True
+            tags.append((first, seen - 1))
     expressions = []
-    if tagged:
+    if tags:
         whole = raw.decode()
-        tags = [m.span() for m in TAG.finditer(whole)]
-        for (_, at), (stop, _) in zip(tags, [*tags[1:], (len(whole), None)], strict=True):
-            tree = parse(whole, at, stop)
+        found = spans(raw, tags)
+        for (_, at), (stop, _) in zip(found, [*found[1:], (len(whole), None)], strict=True):
+            tree = parse(whole, MARK.match(whole, at).end(), stop)
             if tree is not None:
                 expressions.append(written(tree))
                 more |= {f"spdx:{name}" for name in names(tree)}
