@@ -368,3 +368,13 @@ def test_sample_is_bounded_and_whole(spark, monkeypatch):
     got = [tuple(r) for r in language.sample(spark.createDataFrame(texts, "lang string, text string")).collect()]
     assert 5 <= sum(x[0] == "a" for x in got) <= 45 and set(got) <= set(texts)
     assert [x for x in got if x[0] != "a"] == [("b", "only one text")]
+
+
+def test_splitters_leave_only_single_keys_overfull(spark):
+    rows = spark.createDataFrame([("m" if i % 3 == 0 else f"{i * 7919 % 3001:05d}", 100_000 if i < 6 else 50) for i in range(3000)], "key string, size long")
+    for parts in (1, 5, 60):
+        marks, held = sharding.splitters(rows, "key", "size", parts)
+        share = max(1, sum(r.b for r in held) // parts)
+        assert sum(r.n for r in held) == 3000 and len(held) <= len(marks) + 1
+        assert all(r.b <= 2 * share or r.lo == r.hi for r in held)
+    assert sharding.splitters(rows.limit(0), "key", "size", 5)[0] == []
