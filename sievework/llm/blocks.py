@@ -1,6 +1,6 @@
 """Comparing sets within groups, block by block, without a row for each pair.
 
-A group's rows are cut into blocks of bounded size; a task gets one block of rows that look for partners and one of all rows, counts the elements that each two sets share, and returns the links it finds. Elements in many sets of both blocks are counted by matrix products, rarer ones by their lists of sets.
+A group's rows are cut into blocks of bounded size; a task gets one block of rows that look for partners and one of all rows, counts the elements that each two sets share, and returns of the links it finds as many as connect what all of them do. Elements in many sets of both blocks are counted by matrix products, rarer ones by their lists of sets.
 """
 
 from __future__ import annotations
@@ -66,22 +66,29 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def compare(nodes: list[int], parts: list[int], seek: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(a, b) for each a of the rows that seek and each other part with a similar set among the rest: one b of it. seek: which rows seek; the others are sought."""
+    """(a, b) with similar sets, a of the rows that seek, b of the rest and of another part: a spanning forest of all such pairs over their parts, so parts that the pairs connect are connected by it, and there are fewer links than parts. seek: which rows seek; the others are sought."""
     s, t = np.flatnonzero(seek), np.flatnonzero(~seek)
     if not len(s) or not len(t):
         return []
-    part = np.array(parts)
+    # the root of each part's tree, by the part's place
+    names, part = np.unique(np.array(parts), return_inverse=True)
+    root = np.arange(len(names))
     size = np.array([len(x) for x in sets])
     both = shared([sets[i] for i in s], [sets[i] for i in t])
-    near = (100 * both >= percent * (size[s][:, None] + size[t][None, :] - both)) & (part[s][:, None] != part[t][None, :]) & (both > 0)
-    found = {}
-    for i, j in zip(*np.nonzero(near), strict=True):
-        found[nodes[s[i]], parts[t[j]]] = nodes[t[j]]
-    return [(a, b) for (a, _), b in found.items()]
+    near = (100 * both >= percent * (size[s][:, None] + size[t][None, :] - both)) & (both > 0)
+    found = []
+    for i, row in zip(s, near, strict=True):
+        met = t[row]
+        trees, first = np.unique(root[part[met]], return_index=True)
+        for tree, j in zip(trees, met[first], strict=True):
+            if tree != root[part[i]]:
+                root[root == tree] = root[part[i]]
+                found.append((nodes[i], nodes[j]))
+    return found
 
 
 def links(shelf: Shelf, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rows, a table of the shelf (grp, node, part, seeks, size), sets (node, items) -> (a, b) with similar sets: every a that seeks, for each other part of its group in which a similar set is, one b of it.
+    """rows, a table of the shelf (grp, node, part, seeks, size), sets (node, items) -> (a, b) with similar sets: of each block's pairs a spanning forest over the parts, so what all pairs connect is connected, and the links are fewer than the rows.
 
     A group's blocks: seekers in x parts by all rows in y parts, by their numbers and sizes; each seeker goes to y blocks and each row to x."""
     cells = lambda n, size: F.greatest(F.ceil(n / ROWS), F.ceil(size / ITEMS), F.lit(1)).cast("int")

@@ -2,7 +2,7 @@
 
 A register keeps the least of exponential variates that the shingles draw, on an exponential scale and truncated to 16 bits: K = floor(1 - log_B(min)), within 0 and 65,535. Registers of a union are the greater of two, so sketches merge; two sets agree in a register about as often as their similarity. Bands of registers bring candidates together; of a candidate pair the similarity is estimated by maximum likelihood from the numbers of registers that are greater, equal and less, given both set sizes; what may reach the threshold is verified on the full sets.
 
-No bucket is expanded into pairs. Documents of one set are one node. Every node is first compared with the least node of all its buckets, and linked nodes become one component. A bucket of several components stays open: each of its nodes outside its largest component is compared with one node of that, in rounds, as long as these are worth it; at last whatever isn't in a bucket's largest component is compared with all of the bucket that it isn't joined to, in blocks that return links alone. So no pair that shares a bucket is left undecided, and the pairs stay about as many as the nodes.
+No bucket is expanded into pairs. Documents of one set are one node. Every node is first compared with the least node of all its buckets, and linked nodes become one component. A bucket of several components stays open: each of its nodes outside its largest component is compared with one node of that, in rounds, as long as these are worth it; at last whatever isn't in a bucket's largest component is compared with all of the bucket that it isn't joined to, in blocks that return links alone, and of these no more than connect what all of them do. So no pair that shares a bucket is left undecided, and the pairs stay about as many as the nodes.
 """
 
 from __future__ import annotations
