@@ -428,10 +428,8 @@ _ALONE = f"{O.ITEM}, {O.ranking('item_files', 'set_id')}, ak AS (SELECT r.path A
 @query("compare_alone", f"WITH {_ALONE} p AS (SELECT ak.*, " + ", ".join(f"({v})::INTEGER AS {k}" for k, v in _SIGN.items()) + f", coalesce(a.sha256 = b.sha256, false) AS same, {O.reason('a', 'b')} AS ra, {O.reason('b', 'a')} AS rb FROM ak JOIN rp a ON a.ask = ak.ask AND a.path = ak.a JOIN rp b ON b.ask = ak.ask AND b.path = ak.b), w AS (SELECT *, CASE WHEN Resolution <> 0 THEN Resolution WHEN CameraData <> 0 THEN CameraData WHEN OriginalName <> 0 THEN OriginalName WHEN FileSize <> 0 THEN FileSize WHEN OlderCopy <> 0 THEN OlderCopy ELSE Path END AS winner FROM p) SELECT a, b, winner, CASE WHEN same OR winner = 0 THEN 'Identical copies' WHEN winner < 0 THEN ra ELSE rb END AS reason FROM w")
 def compare_alone(spark, d):
     """Each set's keeper beside each other file, their keys measured between the two alone."""
-    files = V.item_files(spark, d)
-    r = ranking.ranked(files, "set_id")
-    asks = r.filter("rank > 1").select("set_id", F.col("path").alias("b")).join(r.filter("rank = 1").select("set_id", F.col("path").alias("a")), "set_id").select(F.col("b").alias("ask"), "a", "b")
-    return ranking.compare_in(asks, files).select("a", "b", "winner", "reason")
+    found = ranking.beside_keeper(V.item_files(spark, d, together=True), "set_id")
+    return found.select(F.col("a_path").alias("a"), F.col("b_path").alias("b"), "winner", "reason")
 
 
 _MOVED_TIME = "(last_write + INTERVAL 330 MINUTE)"
